@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, rank_bpe, token_count, toxicity as toxic
+from . import exact_dedup, line_dedup, ngram_join, packing, rank_bpe, token_count, url_filter
+from . import toxicity as toxic
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(_documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -36,6 +41,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(_pages(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,7 +54,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_rank_bpe, op5_toxicity, op7_token_count, op9_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op5_toxicity, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join)}
 
 
 OP2_SQL = r"""
