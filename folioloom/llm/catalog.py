@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, ngram_join, packing, rank_bpe, token_count, url_filter
+from . import exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, token_count, url_filter
 from . import toxicity as toxic
 
 
@@ -32,11 +32,19 @@ def op3_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_bpe.bpe_round_trip(_documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_pages(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxic.toxicity(docs, toxic.train(docs, labels))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(_documents(spark, sf_dir))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,7 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op5_toxicity, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op4_html_text, op5_toxicity, op6_spotsigs, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join)}
 
 
 OP2_SQL = r"""

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -202,3 +203,16 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", held, "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below 0.5, with all their columns; a null text scores as the empty one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = shared.value.scorer()
+        for part in parts:
+            yield pd.Series([score(t) for t in part], dtype="float64")
+
+    scored = F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)
+    return docs.where(scored(F.coalesce(docs[text_col], F.lit(""))) < 0.5)
