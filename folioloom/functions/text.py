@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: White space as Python's str.strip and \s see it.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
@@ -41,23 +42,23 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff and Obershelp similarity; not symmetric, so the order of the arguments matters."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rejoin_cjk(text: pd.Series) -> pd.Series:
     """Drop one white-space character between two CJK characters; matches don't overlap, as with one left-to-right pass."""
 
@@ -176,7 +177,7 @@ def normalise_title_native(title: Column) -> Column:
     t = F.regexp_replace(t, "[《》<>“”\"'‘’（）()\\[\\]【】]", "")
     t = F.regexp_replace(F.regexp_replace(t, f"{SPACE}+", ""), "^[ .。]+|[ .。]+$", "")
     for ending in WEAK_ENDINGS:
-        t = F.when(t.endswith(ending), F.left(t, F.length(t) - len(ending))).otherwise(t)
+        t = F.regexp_replace(t, f"{ending}$", "")
     return t
 
 

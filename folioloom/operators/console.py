@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 
@@ -43,7 +44,7 @@ def within_budget(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
     return summed.withColumn("truncated", cut).where(F.col("used") <= budget)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def pack_paragraphs(text: pd.Series) -> pd.Series:
     """Paragraphs in order, packed into parts of at most 900 characters; a longer paragraph is a part of its own."""
 
