@@ -137,9 +137,13 @@ def text_around(text: Column, keyword: str, window: int = 300) -> Column:
 
 def keyword_starts(text: Column, keyword: str, most: int = 3) -> Column:
     """Start positions (from 1) of the first ``most`` occurrences, which may overlap."""
-    n, low, word = len(keyword), F.lower(text), F.lit(keyword.lower())
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)) == word)
-    return F.when(F.contains(low, word), F.slice(starts, 1, most)).otherwise(F.array().cast("array<int>"))
+    low, word = F.lower(text), F.lit(keyword.lower())
+    found, last = [], F.lit(0)
+    for _ in range(most):
+        hit = F.call_function("locate", word, low, last + 1)
+        last = F.when(hit > 0, hit).otherwise(F.length(low) + 1)
+        found.append(hit)
+    return F.filter(F.array(*found), lambda i: i > 0)
 
 
 def chunks(text: Column, size: int = 12_000, overlap: int = 500) -> Column:
