@@ -145,14 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = min(0.95, counts["toxic"] / counts["n"])
     rows = text_rows(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     draw = F.xxhash64("doc_id", F.lit("toxicity sample"))
-    some = rows.select(F.lit(0).alias("toxic"), "text", draw.alias("draw")).orderBy("draw").limit(MAX_UNLABELLED)
-    sure = (
-        rows.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-        .select(F.lit(1).alias("toxic"), "text", draw.alias("draw"))
-        .orderBy("draw")
-        .limit(MAX_TOXIC)
-    )
-    sample = settle(some.union(sure).select("toxic", "text").repartition(24), "toxicity-sample")
+    # both samples are settled on by ids alone, so that no text is shuffled to draw them
+    last = rows.select(draw.alias("draw")).orderBy("draw").limit(MAX_UNLABELLED).agg(F.max("draw").alias("draw")).first()["draw"]
+    some = rows.where(draw <= F.lit(last)).select(F.lit(0).alias("toxic"), "text")
+    picks = F.broadcast(known.where("toxic = 1").select("doc_id").orderBy(draw).limit(MAX_TOXIC))  # MAX_TOXIC ids at most
+    sure = rows.join(picks, "doc_id", "left_semi").select(F.lit(1).alias("toxic"), "text")
+    sample = settle(some.union(sure).repartition(24), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
         return Model(np.empty(0, np.int64), np.zeros((1, 0)), np.array([-30.0]))
@@ -214,5 +212,5 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
         for part in parts:
             yield pd.Series([score(t) for t in part], dtype="float64")
 
-    scored = F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(scores, "double")
     return docs.where(scored(F.coalesce(docs[text_col], F.lit(""))) < 0.5)
