@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,13 +21,15 @@ from .pieces import Memo
 
 CAPACITY = 2048
 END_ID = 1
+WORDS = 500_000  # of one generation of the memo of words
+TRAILING = ".,;:!?)&%$#*"
 
 
 class Encoder:
     """Ids of whole texts as a ``tokenizers`` file gives them, as unsigned 32-bit little-endian bytes.
 
-    For a tokenizer that drops white space, normalises character by character and never joins across a space: a text
-    is encoded space by space, each new piece once by the library.
+    For a tokenizer that drops white space, lower-cases and normalises without regard to what a space parts, and never
+    joins across a space: a text is encoded space by space, each new word once by the library.
     """
 
     def __init__(self, path: str):
@@ -36,17 +39,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._memo = Memo()
+        self._pieces = Memo()
+        self._words = Memo(limit=WORDS)
+
+    def _of_words(self, words: set[str]) -> None:
+        """Bring the ids of ``words`` into the memo, all new ones in one call of the library."""
+        self._words.room(len(words))
+        if new := self._words.absent(words):
+            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self._words.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
         known = set(parts)
-        self._memo.room(len(known))
-        new = self._memo.absent(known)
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self._memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return b"".join(map(self._memo.__getitem__, parts))
+        self._pieces.room(len(known))
+        if new := self._pieces.absent(known):
+            cut = [_split(p) for p in new]
+            self._of_words({w for pair in cut for w in pair})
+            get = self._words.__getitem__
+            self._pieces.update(zip(new, (get(w) + get(mark) for w, mark in cut), strict=True))
+        return b"".join(map(self._pieces.__getitem__, parts))
+
+
+def _split(piece: str) -> tuple[str, str]:
+    """A piece without the punctuation behind its last letter or digit, and that; ASCII in lower case.
+
+    The tokenizer always cuts there: no token of its pattern goes on from a letter or digit to one of these marks.
+    """
+    if piece.isascii():
+        piece = piece.lower()
+    word = piece.rstrip(TRAILING)
+    last = word[-1:].lower()  # one that lower-cases to a letter and a mark would take the punctuation with the mark
+    return (word, piece[len(word) :]) if len(last) == 1 and last.isalnum() else (piece, "")
 
 
 @lru_cache(maxsize=2)
