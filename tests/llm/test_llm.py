@@ -343,7 +343,7 @@ def test_pipeline(spark, tmp_path):
 
     rng = random.Random(14)
     clean = [prose(60, rng) for _ in range(200)]
-    texts = [(k, clean[k] + "\nshared footer line of this corpus") for k in range(200)] + [(1000 + k, prose(40, rng) + " scum clown moron") for k in range(30)] + [(2000, clean[0] + " more\nshared footer line of this corpus")]
+    texts = [(k, clean[k] + "\nshared footer line of this corpus") for k in range(200)] + [(1000 + k, prose(40, rng) + " scum clown moron") for k in range(30)] + [(2000, "\n".join(" ".join(clean[0].split()[k : k + 15]) for k in range(0, 60, 15)))]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(1000 <= i < 2000)) for i, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = cp.run(spark, str(tmp_path)).collect()
