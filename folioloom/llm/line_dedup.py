@@ -12,6 +12,7 @@ SHINGLE, THRESHOLD = 9, 0.8
 HASHES = 12
 #: Bands of three MinHash values: two ways to split the twelve that share no pair.
 BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
+PIECE = 64  # shingles cut from a line at once
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -37,19 +38,16 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...): MinHash values of each distinct line, least over its exploded hashes in a compiled aggregation.
+    """(h, m0, m1, ...): MinHash values of each distinct line over all its shingles.
 
-    A line's hashes are those of its shingles that begin with a word: word and follower, cut to the shingle's length.
-    Where words are too long to tell much, they are those of all its shingles. The least hash after XOR with a constant
-    is a MinHash value, since which hash is nearest to a constant is uniform over the set.
+    Lines are cut to pieces first, so that finding a shingle's place never walks a long line. A line of fewer than
+    SHINGLE characters is like no other, and isn't signed.
     """
-    df = _once(lines, "words", F.split("line", " "))
-    begun = F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.xxhash64(F.left(F.concat_ws(" ", a, b), F.lit(SHINGLE))))
-    every = F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))
-    df = _once(df, "hashes", F.when(F.size("words") * 24 >= F.length("line"), begun).otherwise(every)).select("h", "doc_id", "line_no", "hashes")
-    masks = [(0x9E3779B97F4A7C15 * (j + 1) & (1 << 64) - 1) - (1 << 63) for j in range(HASHES)]
-    least = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)]
-    return df.select("h", F.explode("hashes").alias("x")).groupBy("h").agg(*least)
+    start = F.explode(F.sequence(F.lit(1), F.length("line") - (SHINGLE - 1), F.lit(PIECE)))
+    pieces = lines.where(F.length("line") >= SHINGLE).select("h", F.col("line"), start.alias("at")).select("h", F.substring(F.col("line"), F.col("at"), F.lit(PIECE + SHINGLE - 1)).alias("piece"))
+    cut = pieces.select("h", "piece", F.explode(F.sequence(F.lit(1), F.length("piece") - (SHINGLE - 1))).alias("at"))
+    hashed = cut.select("h", F.xxhash64(F.substring(F.col("piece"), F.col("at"), F.lit(SHINGLE))).alias("x"))
+    return hashed.groupBy("h").agg(*(F.min(F.hash("x", F.lit(j))).alias(f"m{j}") for j in range(HASHES)))
 
 
 def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,8 +108,7 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shingles have a Jaccard similarity of 0.8 or more; of each component of such links one line stays, the one with the
     smallest (doc_id, line number). Every other occurrence goes, copies included.
 
-    1. MinHash values come from the shingles that begin with a word, about a sixth of all; where a line has few words
-       for its length, from all.
+    1. MinHash values come from all shingles of a line.
     2. Equal lines become one text by the hash of the line; hashes and positions are shuffled, never the text.
     3. Texts that share one of eight bands of three values are candidates. Each meets the least member of the band and
        a neighbour in an order that differs from band to band, so pairs grow with the members, not with their square.

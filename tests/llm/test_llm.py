@@ -331,6 +331,18 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup_report(docs(spark, [])).count() == 0
 
 
+def report_of(spark, lines):
+    texts = list(enumerate(lines))
+    return {r["doc_id"]: r["removed"] for r in line_dedup.line_dedup_report(docs(spark, texts)).collect()}, brute_lines(texts)
+
+
+def test_line_dedup_signs_all_lines_alike(spark):
+    rng, letters = random.Random(21), "abcdefghijklmnopqrstuvwxyz"
+    base = [" ".join("".join(rng.choice(letters) for _ in range(n)) for n in (24, 23, 23, 23, 23)) for _ in range(100)]
+    got, want = report_of(spark, [y for x in base for y in (x, x + ".")])
+    assert got == want and sum(map(len, got.values())) == 100
+
+
 def test_lookup_splits_heavy_keys(spark):
     rows = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     table = spark.createDataFrame([(0, 15, "a"), (1, 15, "b"), (9, 1, "c")], "k long, n long, v string")
