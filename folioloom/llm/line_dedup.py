@@ -9,9 +9,9 @@ from .common import lookup, settle, text_rows
 from .graph import connected_components
 
 SHINGLE, THRESHOLD = 9, 0.8
-HASHES = 12
-#: Bands of three MinHash values: two ways to split the twelve that share no pair.
-BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (0, 3, 6), (1, 4, 9), (2, 7, 10), (5, 8, 11))
+HASHES = 30
+#: Twenty bands of three MinHash values: two ways to split the thirty that share no pair.
+BANDS = tuple((3 * i, 3 * i + 1, 3 * i + 2) for i in range(10)) + tuple((3 * i, (3 * i + 4) % 30, (3 * i + 11) % 30) for i in range(10))
 PIECE = 64  # shingles cut from a line at once
 
 
@@ -55,8 +55,8 @@ def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     occurrences = settle(_lines(rows).select("doc_id", "mark", "line_no", "h"), "lines")
     places = occurrences.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"))
     bands = [F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)) for k, band in enumerate(BANDS)]
-    texts = settle(_signed(_lines(rows)).select("h", F.array(*bands).alias("bands")), "line-texts")
-    keys = texts.select("h", F.explode("bands").alias("key"))
+    texts = settle(_signed(_lines(rows)), "line-texts")
+    keys = texts.select("h", F.explode(F.array(*bands)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("center"), F.max("h").alias("last")).where("center < last")
     members = keys.join(shared, "key")
     # every member meets the least of its band and its neighbour in an order of that band's own
@@ -110,7 +110,7 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     1. MinHash values come from all shingles of a line.
     2. Equal lines become one text by the hash of the line; hashes and positions are shuffled, never the text.
-    3. Texts that share one of eight bands of three values are candidates. Each meets the least member of the band and
+    3. Texts that share one of twenty bands of three values are candidates. Each meets the least member of the band and
        a neighbour in an order that differs from band to band, so pairs grow with the members, not with their square.
     4. Candidate lines are fetched and compared by all their shingles.
     5. ``graph.connected_components`` joins the links.

@@ -343,6 +343,14 @@ def test_line_dedup_signs_all_lines_alike(spark):
     assert got == want and sum(map(len, got.values())) == 100
 
 
+def test_line_dedup_short_lines_with_another_end(spark):
+    rng, letters = random.Random(22), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n)).capitalize()
+    base = [f"{word(rng.randint(5, 9))} {word(rng.randint(5, 9))}" for _ in range(250)]
+    got, want = report_of(spark, [f"{x} {y}" for x in base for y in (2012, 2017)])
+    assert sum(map(len, want.values())) > 100 and got == want
+
+
 def test_lookup_splits_heavy_keys(spark):
     rows = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     table = spark.createDataFrame([(0, 15, "a"), (1, 15, "b"), (9, 1, "c")], "k long, n long, v string")
