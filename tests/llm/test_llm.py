@@ -351,6 +351,24 @@ def test_line_dedup_short_lines_with_another_end(spark):
     assert sum(map(len, want.values())) > 100 and got == want
 
 
+def test_line_dedup_compares_whole_bands(spark):
+    rng, letters = random.Random(23), "abcdefghijklmnopqrstuvwxyz"
+    hosts = sorted({"".join(rng.choice(letters) for _ in range(4)) for _ in range(180)})
+    got, want = report_of(spark, [f"https://www.{x}.io/p{k}" for x in hosts for k in (1, 2)])
+    assert sum(map(len, want.values())) > 100 and got == want
+
+
+def test_line_dedup_finishes_hot_bands(spark):
+    """All lines in one band, dealt into blocks; no line is linked before."""
+    rng = random.Random(24)
+    lines = [prose(8, rng) for _ in range(100)]
+    lines += [x + "!" for x in lines]
+    found = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    none = spark.createDataFrame([], "node long, root long")
+    got = line_dedup._rest(found.select(F.lit(7).cast("long").alias("key"), "h"), none, found).collect()
+    assert sorted((r["a"], r["b"]) if r["a"] < r["b"] else (r["b"], r["a"]) for r in got) == [(k, 100 + k) for k in range(100)]
+
+
 def test_lookup_splits_heavy_keys(spark):
     rows = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     table = spark.createDataFrame([(0, 15, "a"), (1, 15, "b"), (9, 1, "c")], "k long, n long, v string")
