@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("file_id"), F.col("doc_id").alias("pos"), name.alias("filename"), F.col("text").alias("extracted_title"), F.lit(None).cast("string").alias("extracted_code"))
 
 
-def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _scores(items: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
+    """The rungs that SQL can express, or the whole ladder, with NFKC, similarity and keywords as in the reference."""
+    return M.match_scores(items, docs, similarity=whole, native=not whole)
+
+
+def _assigned(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
-    scores = M.match_scores(items, docs, similarity=False, native=True)
-    return items, docs, M.assign(items, docs, scores)
+    return items, docs, M.assign(items, docs, _scores(items, docs, whole))
 
 
 def nt(x: str) -> str:
@@ -67,14 +73,14 @@ COLUMNS = ["item_id", "order_no", "selected_file_id", "score", "status", "match_
 
 
 @query("match_assign", BASE + "SELECT * FROM a")
-def match_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assigned(spark, sf_dir)[2].select(COLUMNS)
+def match_assign(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _assigned(spark, sf_dir, whole)[2].select(COLUMNS)
 
 
 @query("match_candidates_top5", BASE + "SELECT item_id, rnk, file_id, score, method FROM r WHERE rnk <= 5")
-def match_candidates_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+def match_candidates_top5(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
-    best = M.ranked(M.match_scores(items, docs, similarity=False, native=True), docs).where("rnk <= 5")
+    best = M.ranked(_scores(items, docs, whole), docs).where("rnk <= 5")
     return best.select("item_id", "rnk", "file_id", "score", "method")
 
 
@@ -123,8 +129,8 @@ def match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("match_unused_docs", BASE + "SELECT file_id FROM d WHERE file_id NOT IN (SELECT selected_file_id FROM a WHERE selected_file_id IS NOT NULL)")
-def match_unused_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, docs, matches = _assigned(spark, sf_dir)
+def match_unused_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, docs, matches = _assigned(spark, sf_dir, whole)
     return M.unused_documents(docs, matches).select("file_id")
 
 
@@ -135,8 +141,8 @@ def match_unused_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'unmatched') AS unmatched,
 (SELECT count(*) FROM d WHERE file_id NOT IN (SELECT selected_file_id FROM a WHERE selected_file_id IS NOT NULL)) AS unused FROM a""",
 )
-def match_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.kpis(*_assigned(spark, sf_dir))
+def match_kpis(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return M.kpis(*_assigned(spark, sf_dir, whole))
 
 
 @query(
@@ -145,8 +151,8 @@ def match_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT a.order_no, a.status, a.match_method, a.score, md5(title) AS title_md5, coalesce('doc' || selected_file_id || '.pdf', '') AS filename
 FROM a JOIN i USING (item_id)""",
 )
-def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs, matches = _assigned(spark, sf_dir)
+def match_report(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    items, docs, matches = _assigned(spark, sf_dir, whole)
     r = M.report(matches, items, docs).orderBy("order_key")
     return r.select("order_no", "status", "match_method", "score", F.md5("title").alias("title_md5"), "filename")
 
@@ -163,17 +169,17 @@ DECIDED = (
 )
 
 
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decided(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Every third row skipped, the next of each three confirmed with one of the first five documents."""
-    items, _, matches = _assigned(spark, sf_dir)
+    items, _, matches = _assigned(spark, sf_dir, whole)
     k = F.col("item_id") % 3
     d = items.where(k < 2).select("item_id", F.when(k == 1, F.col("item_id") % 5).alias("file_id"), (k == 0).alias("skip"))
     return M.confirm(matches, d)
 
 
 @query("match_confirm_skip", DECIDED + "SELECT * FROM c")
-def match_confirm_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).select(*COLUMNS, "manually_confirmed")
+def match_confirm_skip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _decided(spark, sf_dir, whole).select(*COLUMNS, "manually_confirmed")
 
 
 @query(
@@ -182,8 +188,8 @@ def match_confirm_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT item_id, 'unresolved:' || status AS error FROM c WHERE status IN ('needs_review', 'unmatched', 'failed') UNION ALL
 SELECT item_id, 'duplicate:' || selected_file_id FROM (SELECT *, row_number() OVER (PARTITION BY selected_file_id ORDER BY order_no) AS k FROM c WHERE selected_file_id IS NOT NULL) WHERE k > 1""",
 )
-def match_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.validation_errors(_decided(spark, sf_dir))
+def match_validate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return M.validation_errors(_decided(spark, sf_dir, whole))
 
 
 @query(
@@ -192,12 +198,26 @@ def match_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT r.item_id, r.file_id, h.held_by FROM r LEFT JOIN
 (SELECT selected_file_id, min(order_no) AS held_by FROM a WHERE selected_file_id IS NOT NULL GROUP BY 1) h ON h.selected_file_id = r.file_id WHERE rnk <= 5""",
 )
-def match_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def match_occupancy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
-    scores = M.match_scores(items, docs, similarity=False, native=True)
+    scores = _scores(items, docs, whole)
     return M.occupancy(M.top_candidates(scores, docs), M.assign(items, docs, scores))
 
 
+def _whole(name: str) -> None:
+    """Register ``name``_whole: the query over the whole ladder. The sequence ratio has no SQL form."""
+    f = QUERIES[name][0]
+
+    @query(f"{name}_whole")
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, whole=True)
+
+
+for _name in ("match_assign", "match_candidates_top5", "match_unused_docs", "match_kpis", "match_report", "match_confirm_skip", "match_validate", "match_occupancy"):
+    _whole(_name)
+
+
 @query(
     "output_filenames",
     r"""

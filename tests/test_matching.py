@@ -2,7 +2,9 @@
 
 import io
 import random
+import re
 import zipfile
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,44 @@ def test_margins_are_double(spark, top, second, status):
     s = spark.createDataFrame([("i", "a", top, "m"), ("i", "b", second, "m")], "item_id string, file_id string, score double, method string")
     d = docs(spark, ("a", 0, "a", ".pdf", None, None), ("b", 1, "b", ".pdf", None, None))
     assert M.assign(items(spark, ("i", 1, "t", None)), d, s).first()["status"] == status
+
+
+def brute_ladder(title, text):
+    """calculate_match_score of the reference, without codes."""
+    if title == text:
+        return 0.95, "title_exact"
+    a, b = (re.sub(r"\s+", "", x).strip(" .。") for x in (title, text))
+    if a in b or b in a:
+        return 0.90, "title_contains"
+    if (sim := SequenceMatcher(None, a, b).ratio()) >= 0.8:
+        return (0.88 if sim >= 0.9 else 0.75), "title_similarity"
+    tokens = [w for w in re.split(r"[，,。；;：:\s]+", a) if len(w) >= 2]
+    score = min(0.6 * sum(w in b for w in tokens) / len(tokens), 0.6) if tokens else 0
+    return score, "keyword"
+
+
+def test_queries_over_the_whole_ladder(spark, tmp_path):
+    from folioloom.plans import matching as P
+
+    titles = [(1, "annual budget of the city"), (2, "report on water,sewers"), (3, "minutes of the spring meeting"), (4, "zzzz"), (5, "plan for road repairs")]
+    texts = [(10, "annual budget of the city"), (11, "annual budget of the citi"), (12, "all about sewers"), (13, "minutes of the sprung meating"), (14, "plan for roads and repairs"), (15, "qq")]
+    spark.createDataFrame(titles, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {(i, d): s for i, t in titles for d, x in texts if (s := brute_ladder(t, x))[0] > 0}
+    assert {m for _, m in scores.values()} == {"title_exact", "title_similarity", "keyword"}
+    ranks = {i: sorted((d for j, d in scores if j == i), key=lambda d: (-scores[i, d][0], d)) for i, _ in titles}
+    got = P.QUERIES["match_candidates_top5_whole"][0](spark, str(tmp_path)).collect()
+    want = {(i, k + 1, d, *scores[i, d]) for i, r in ranks.items() for k, d in enumerate(r[:5])}
+    assert {(r["item_id"], r["rnk"], r["file_id"], round(r["score"], 9), r["method"]) for r in got} == {(*w[:3], round(w[3], 9), w[4]) for w in want}
+    used, states = set(), {}
+    for i, r in sorted(ranks.items()):
+        best = [scores[i, d][0] for d in r] + [0]
+        take = bool(r) and best[0] >= 0.85 and best[0] - best[1] >= 0.10 and r[0] not in used
+        used |= {r[0]} if take else set()
+        states[i] = "matched" if take else "needs_review" if r else "unmatched"
+    assert {r["item_id"]: r["status"] for r in P.QUERIES["match_assign_whole"][0](spark, str(tmp_path)).collect()} == states
+    assert states[1] == "needs_review" and states[2] == "needs_review" and states[4] == "unmatched"
+    unused = P.QUERIES["match_unused_docs_whole"][0](spark, str(tmp_path)).collect()
+    assert {r["file_id"] for r in unused} == {d for d, _ in texts} - used
+    for name in ("kpis", "report", "confirm_skip", "validate", "occupancy"):
+        P.QUERIES[f"match_{name}_whole"][0](spark, str(tmp_path)).collect()
