@@ -258,6 +258,26 @@ def strip_markdown(text: Column) -> Column:
     return F.trim(text)
 
 
+#: White space as Python's strings have it.
+_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends, as Python's strip."""
+    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+
+
+def strip_md(text: Column) -> Column:
+    """``_strip_md`` of the reference: lines end at \\n alone, digits and spaces are Unicode's, null gives the empty text."""
+    text = F.coalesce(text, F.lit(""))
+    for mark in (r"\*\*", "__", r"\*", "_", "`", "~~"):
+        text = F.regexp_replace(text, f"(?d){mark}(.+?){mark}", "$1")
+    for pattern in (rf"^#{{1,6}}{_SPACE}+", "^[-–—]{3,}$", rf"^[*+-]{_SPACE}+", rf"^\p{{Nd}}+[.)]{_SPACE}+"):
+        text = F.regexp_replace(text, f"(?md){pattern}", "")
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return strip(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+
+
 def has_table(text: Column) -> Column:
     """Three lines or more that begin and end with a bar."""
     return F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("|") & F.trim(x).endswith("|"))) >= 3

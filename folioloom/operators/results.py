@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,9 +157,9 @@ def doc_text(pages: DataFrame, numbered: bool = False) -> DataFrame:
     return listed.select("file_id", F.array_join(F.col("l.t"), "\n\n").alias("full_text"))
 
 
-def choose_text(native: Column, ocr: Column) -> Column:
+def choose_text(native: Column, ocr: Column, strip: Callable[[Column], Column] = F.trim) -> Column:
     """OCR text only where the native one has under 50 characters and OCR has over 1.2 times as many."""
-    n, o = F.length(F.trim(native)), F.length(F.trim(ocr))
+    n, o = F.length(strip(native)), F.length(strip(ocr))
     return F.when((n < 50) & (o > n * F.lit(1.2)), ocr).otherwise(native)
 
 

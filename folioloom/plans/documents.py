@@ -166,6 +166,12 @@ def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(T.strip_markdown(made)).alias("plain_md5"))
 
 
+@query("strip_markdown_whole")
+def strip_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's removals over every whole text; Python's white space and lazy matches have no SQL form."""
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.strip_md(F.col("text"))).alias("plain_md5"))
+
+
 @query(
     "intent_flags",
     r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(trim(x, ' '), '|') AND ends_with(trim(x, ' '), '|'))) >= 3 AS has_table,
@@ -185,6 +191,15 @@ def page_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", R.choose_text(cut(60), cut(90)).alias("chosen"))
 
 
+@query("page_text_choice_whole")
+def page_text_choice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as both readings: a document's own is the native one, that of the next id the OCR one."""
+    d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ocr"))
+    chosen = R.choose_text(F.col("text"), F.coalesce("ocr", F.lit("")), T.strip)
+    return d.join(other, "doc_id", "left").select("doc_id", chosen.alias("chosen"))
+
+
 @query("best_ocr", "SELECT conv_id AS file_id, 1 AS page_num, arg_max(text, (length(trim(text, ' ')), -turn)) AS text FROM conversations GROUP BY conv_id")
 def best_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.lit(1).alias("page_num"), F.col("turn").alias("psm_pos"), "text")

@@ -1,7 +1,10 @@
 """Coercion, text, templates, results, merge, sources and streaming on small data."""
 
+import hashlib
 import io
 import json
+import random
+import re
 import zipfile
 from difflib import SequenceMatcher
 
@@ -152,3 +155,29 @@ def test_registered_queries_have_unique_columns_and_sql():
 
     names = e.queries()
     assert set(e.oracle_sql()) <= set(names) and "match_assign" in names
+
+
+def brute_strip_md(text):
+    text = text or ""
+    for mark in (r"\*\*", "__", r"\*", "_", "`", "~~"):
+        text = re.sub(f"{mark}(.+?){mark}", lambda m: m.group(1), text)
+    for pattern in (r"^#{1,6}\s+", r"^[-–—]{3,}$", r"^[*+-]\s+", r"^\d+[.)]\s+"):
+        text = re.sub(pattern, "", text, flags=re.M)
+    return re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "", re.sub(r"\n{3,}", "\n\n", text)).strip()
+
+
+def test_queries_over_whole_texts(spark, tmp_path):
+    from folioloom.plans import documents as D
+
+    rng = random.Random(31)
+    bits = ["**bold**", "__u__", "*i*", "_x_", "`c`", "~~s~~", "# H ", "#######", "---", "—––", "- a", "* b", "+\xa0c", "1. d", "٣) e", "\n", "\n", "\n\n\n", "\r\n", "\x85", "\u2028", "\x1c", "\x07", " ", "\u3000", "plain words", "a_b", "$1", "\\1", "*", "_", "é😀"]
+    texts = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for k in range(400)] + [(400, None), (401, "x " * 40 + "**end**\n- last")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["plain_md5"] for r in D.QUERIES["strip_markdown_whole"][0](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(brute_strip_md(x).encode()).hexdigest() for k, x in texts}
+    by_id = {k: x or "" for k, x in texts}
+    want = {}
+    for k, x in by_id.items():
+        n, other = len(x.strip()), by_id.get(k + 1, "")
+        want[k] = other if n < 50 and len(other.strip()) > n * 1.2 else x
+    assert {r["doc_id"]: r["chosen"] for r in D.QUERIES["page_text_choice_whole"][0](spark, str(tmp_path)).collect()} == want
