@@ -120,12 +120,8 @@ def match_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_similarity")
 def match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The similarity and keyword rungs between nations and the names of customers' segments and regions."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    items = n.select(F.col("n_nationkey").alias("item_id"), F.col("n_name").alias("title"), F.lit("").alias("code"))
-    names = r.select(F.col("r_name").alias("x")).union(n.select(F.concat("n_name", F.lit("S")))).distinct()
-    docs = names.select(F.col("x").alias("file_id"), F.col("x").alias("filename"), F.col("x").alias("extracted_title"), F.lit("").alias("extracted_code"))
-    return M.match_scores(items, docs, similarity=True)
+    """(item_id, file_id, score, method) by the whole ladder, for every pair of benchmark and documents with a score."""
+    return _scores(_items(spark, sf_dir), _docs(spark, sf_dir), True)
 
 
 @query("match_unused_docs", BASE + "SELECT file_id FROM d WHERE file_id NOT IN (SELECT selected_file_id FROM a WHERE selected_file_id IS NOT NULL)")

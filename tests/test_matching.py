@@ -168,6 +168,8 @@ def test_queries_over_the_whole_ladder(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     scores = {(i, d): s for i, t in titles for d, x in texts if (s := brute_ladder(t, x))[0] > 0}
     assert {m for _, m in scores.values()} == {"title_exact", "title_similarity", "keyword"}
+    every = P.QUERIES["match_similarity"][0](spark, str(tmp_path)).collect()
+    assert {(r["item_id"], r["file_id"]): (round(r["score"], 9), r["method"]) for r in every} == {k: (round(s, 9), m) for k, (s, m) in scores.items()}
     ranks = {i: sorted((d for j, d in scores if j == i), key=lambda d: (-scores[i, d][0], d)) for i, _ in titles}
     got = P.QUERIES["match_candidates_top5_whole"][0](spark, str(tmp_path)).collect()
     want = {(i, k + 1, d, *scores[i, d]) for i, r in ranks.items() for k, d in enumerate(r[:5])}
