@@ -156,8 +156,8 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
        band and a neighbour in an order that differs from band to band, so pairs grow with the members. Where that
        leaves a band in several components, all its members of different components meet in blocks.
     4. Candidate lines are fetched and compared by all their shingles.
-    5. ``graph.connected_components`` joins the links. A pair at 0.8 shares no band about once in 22,000 (simulated); pairs that do
-       are all compared, unless they are in one component already.
+    5. ``graph.connected_components`` joins the links. A pair at 0.8 shares no band about once in
+       28,000 (simulated); pairs that do are all compared, unless they are in one component already.
 
     Null and empty texts have one blank line; blank lines are always kept. Lines shorter than nine characters are alike
     only when equal. Rows that repeat an id and text are one document and keep the same lines. Rows with a null id take
