@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import settle
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a table, with their number and the exclusive or of their hashes, taken while they are written."""
+    seen = Observation()
+    edges = edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("h"))
+    return settle(edges, name), (seen.get["n"], seen.get["h"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,12 +43,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     path. Only two numbers a round (edge count and hash sum) reach the driver. Null ends are dropped. An empty edge
     table gives an empty result.
     """
-    now = settle(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), name)
-    mark = _mark(now)
+    now, mark = _settled(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), name)
     while mark[0]:
-        now = settle(_small_star(_large_star(now)), name)
-        if (after := _mark(now)) == mark:
+        before = mark
+        now, mark = _settled(_small_star(_large_star(now)), name)
+        if mark == before:
             break
-        mark = after
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
