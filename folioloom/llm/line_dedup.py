@@ -83,12 +83,12 @@ def _alike(x: Column, y: Column) -> Column:
 
 
 def _links(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike."""
+    """The rows of ``pairs`` whose lines a and b are alike."""
     both = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(
         found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b"
     )
     sets = _once(_once(both, "sx", _hashed(F.col("x"))).drop("x"), "sy", _hashed(F.col("y")))
-    return sets.where(_alike(F.col("sx"), F.col("sy"))).select("a", "b")
+    return sets.where(_alike(F.col("sx"), F.col("sy"))).select(pairs.columns)
 
 
 def _with(rows: DataFrame, few: DataFrame, keys: list[str], number: int) -> DataFrame:
@@ -107,12 +107,15 @@ def _sketched(found: DataFrame) -> DataFrame:
     return sets.groupBy("h", "size").agg(*words).select("h", "size", F.array(*(f"o{k}" for k in range(SKETCH))).alias("odd"))
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def _may_be_alike(a: Column, b: Column) -> Column:
     """False only where sizes or sketches prove two lines less alike than THRESHOLD."""
-    both = a["size"] + b["size"]
-    differ = F.aggregate(F.zip_with(a["odd"], b["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     close = F.least(a["size"], b["size"]) >= THRESHOLD * F.greatest(a["size"], b["size"]) - 1e-9
-    return close & (differ * (1 + THRESHOLD) <= both * (1 - THRESHOLD) + 1e-9)
+    return close & (_differ(a, b) * (1 + THRESHOLD) <= (a["size"] + b["size"]) * (1 - THRESHOLD) + 1e-9)
 
 
 def _rest(members: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,7 +123,8 @@ def _rest(members: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
 
     Only bands whose members lie in several components are left to do. Such a band is dealt into blocks of about BLOCK
     lines, and every pair of blocks, or block with itself, is one row that compares the sketches of its lines in place.
-    The pairs that a sketch can't rule out are verified like all others.
+    The pairs that a sketch can't rule out are verified like all others: of each two components first the pair whose
+    sketches differ least, then all whose components no such pair has joined.
     """
     rooted = members.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     rooted = settle(rooted.select("key", "h", "root"), "line-rooted")
@@ -135,13 +139,18 @@ def _rest(members: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
 
     def near(a: Column) -> Column:
         meets = F.filter("us", lambda b: (b["own"] == F.col("j")) & (a["root"] != b["root"]) & ((F.col("i") < F.col("j")) | (a["h"] < b["h"])) & _may_be_alike(a, b))
-        return F.transform(meets, lambda b: F.struct(F.least(a["h"], b["h"]).alias("a"), F.greatest(a["h"], b["h"]).alias("b")))
-
-    hits = F.flatten(F.transform(F.filter("us", lambda a: a["own"] == F.col("i")), near))
-    pairs = settle(units.select(F.explode(hits).alias("e")).select("e.a", "e.b").distinct(), "line-pairs")
-    root_of = rooted.select("h", "root").distinct()
-    ends = _links(pairs, found).join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b")
-    return ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        return F.transform(meets, lambda b: F.struct(a["h"].alias("x"), a["root"].alias("rx"), b["h"].alias("y"), b["root"].alias("ry"), _differ(a, b).alias("d")))
+
+    hits = units.select(F.explode(F.flatten(F.transform(F.filter("us", lambda a: a["own"] == F.col("i")), near))).alias("e")).select("e.*")
+    turned = F.expr("rx > ry")
+    ends = {"ra": F.least("rx", "ry"), "rb": F.greatest("rx", "ry"), "a": F.when(turned, F.col("y")).otherwise(F.col("x")), "b": F.when(turned, F.col("x")).otherwise(F.col("y"))}
+    pairs = settle(hits.select(*(c.alias(n) for n, c in ends.items()), "d").distinct(), "line-pairs")
+    nearest = pairs.groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b"), "d").alias("p")).select("ra", "rb", "p.a", "p.b")
+    joined = settle(_links(nearest, found).select("ra", "rb"), "line-joined")
+    tops = connected_components(joined.toDF("a", "b"), "line-tops")
+    apart = pairs.join(tops.toDF("ra", "ta"), "ra", "left").join(tops.toDF("rb", "tb"), "rb", "left")
+    apart = apart.where(F.coalesce("ta", "ra") != F.coalesce("tb", "rb")).join(nearest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "ra", "rb")
+    return joined.union(_links(apart, found).select("ra", "rb")).toDF("a", "b")
 
 
 def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
