@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 
-#: The program is solved when its value is within this share of a proven lower bound.
-GAP = 1e-3
-#: Or when so many rounds together have improved it by less than that share.
-PATIENCE = 40
+#: Pricing also ends once so many rounds together have gained less than a thousandth of a sequence.
+PATIENCE = 60
 
 
 def best_pattern(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -80,6 +80,15 @@ def first_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[l
     return patterns, amount, order
 
 
+Start = Callable[[np.ndarray, np.ndarray, int], tuple[list[dict[int, int]], np.ndarray, list[int]]]
+
+
+def plain_basis(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, list[int]]:
+    """One pattern for each length, of as many copies of it as fit: the plainest start."""
+    copies = capacity // lengths
+    return [{i: int(k)} for i, k in enumerate(copies)], need / copies, list(range(len(lengths)))
+
+
 def triangular_inverse(patterns: list[dict[int, int]], order: list[int]) -> np.ndarray:
     """Inverse of the basis whose j-th column is ``patterns[j]``, by forward substitution in the order of meeting."""
     users: list[list[tuple[int, int]]] = [[] for _ in patterns]
@@ -97,34 +106,35 @@ def triangular_inverse(patterns: list[dict[int, int]], order: list[int]) -> np.n
     return inverse
 
 
-def solve(demand: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
-    """Patterns ({length: copies}, amount) that together hold ``demand`` ({length: pieces}) at a near-least amount.
+def solve(demand: dict[int, int], capacity: int, start: Start = first_basis) -> list[tuple[dict[int, int], float]]:
+    """Patterns ({length: copies}, amount) that together hold ``demand`` ({length: pieces}) at the least amount.
 
-    Revised simplex with an explicit inverse of the basis, from ``first_basis``. Each round prices all patterns at once
-    by a knapsack over the dual prices; where the best price is v, the optimum is at least value / v, and no less than
-    what the tokens alone fill. The rounds end when the value is within ``gap`` of the best such bound. Rows are
-    lengths, at most ``capacity``, whatever the number of documents. They also end once PATIENCE rounds have gained
-    less than ``gap``: what the patterns then leave free is filled from the pool.
+    Revised simplex with an explicit inverse of the basis, from the patterns of ``start``. Each round prices all
+    patterns at once by a knapsack over the dual prices and brings the dearest into the basis. It ends when no pattern
+    costs more than 1, so that none can lower the amount; or when the amount is no more than the sequences that any
+    packing into whole sequences needs: the proven bound, rounded up. The bound is the tokens over ``capacity`` or, where
+    the best price is v, the amount over v. Degenerate programs can turn in place for long, so PATIENCE ends them too.
+    Rows are lengths, at most ``capacity``, whatever the number of documents.
     """
     lengths = np.array(sorted(x for x, n in demand.items() if n > 0), np.int64)
     if not len(lengths):
         return []
     need = np.array([demand[int(x)] for x in lengths], np.float64)
     m = len(lengths)
-    patterns, amount, order = first_basis(lengths, need, capacity)
+    patterns, amount, order = start(lengths, need, capacity)
     inverse = triangular_inverse(patterns, order)
     bound, duals = float(need @ lengths) / capacity, inverse.sum(0)
     totals: list[float] = []
     while True:
         total = amount.sum()
-        if total - bound <= gap * total:
+        if total <= math.ceil(bound - 1e-6) + 1e-6:
             break
         totals.append(total)
-        if len(totals) > PATIENCE and totals[-1 - PATIENCE] - total <= gap * total:
+        if len(totals) > PATIENCE and totals[-1 - PATIENCE] - total < 1e-3:
             break
         value, copies = best_pattern(duals, lengths, capacity)
         bound = max(bound, total / max(value, 1.0))
-        if value <= 1 + 1e-9 or total - bound <= gap * total:
+        if value <= 1 + 1e-9:
             break
         at = np.fromiter(copies, np.int64, len(copies))
         column = inverse[:, at] @ np.fromiter(copies.values(), np.float64, len(copies))
@@ -144,16 +154,48 @@ def solve(demand: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple
     return [({int(lengths[i]): n for i, n in p.items()}, float(x)) for p, x in zip(patterns, amount, strict=True) if x > 1e-9]
 
 
-def round_down(patterns: list[tuple[dict[int, int], float]], demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole amounts, such that the pieces left over hold at least as many tokens as the patterns leave free.
+def whole_patterns(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns with whole amounts that hold ``demand`` exactly.
 
-    Amounts are scaled by 1, then ever less, and rounded down; so the gaps of the chosen sequences can be filled from
-    the left-over pieces, cut where a gap ends.
+    Amounts of the program are rounded down, and one more of each pattern is taken, largest fraction first, where its
+    pieces are still there. What then remains is a program of its own, with fewer pieces; and so on. Where no pattern
+    fits, as when it takes more copies of a length than there are, the first is cut down to what there is.
     """
-    tokens = sum(x * n for x, n in demand.items())
-    for scale in (1.0, 0.999, 0.998, 0.995, 0.99, 0.98, 0.96, 0.92, 0.84, 0.68, 0.36, 0.0):
-        chosen = [(p, int(x * scale + 1e-7)) for p, x in patterns]
-        held = sum(n * sum(x * k for x, k in p.items()) for p, n in chosen)
-        if tokens - held >= sum(n for _, n in chosen) * capacity - held:
-            return [(p, n) for p, n in chosen if n]
-    return []
+    left = {x: n for x, n in demand.items() if n > 0}
+    chosen: list[tuple[dict[int, int], int]] = []
+
+    def take(pattern: dict[int, int], n: int) -> None:
+        chosen.append((pattern, n))
+        for x, k in pattern.items():
+            left[x] -= k * n
+            if not left[x]:
+                del left[x]
+
+    while left:
+        found = solve(left, capacity)
+        before = len(chosen)
+        for pattern, amount in found:
+            if n := int(amount + 1e-7):
+                take(pattern, min(n, *(left.get(x, 0) // k for x, k in pattern.items())))
+        for pattern, amount in sorted(found, key=lambda f: int(f[1] + 1e-7) - f[1]):
+            if amount - int(amount + 1e-7) > 1e-7 and all(left.get(x, 0) >= k for x, k in pattern.items()):
+                take(pattern, 1)
+        if len(chosen) == before:
+            pattern = max(found, key=lambda f: f[1])[0]
+            take({x: min(k, left[x]) for x, k in pattern.items()}, 1)
+    return [(pattern, n) for pattern, n in chosen if n]
+
+
+def dissolve(patterns: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The patterns without the least filled sequences, as many as it takes for their tokens to fill all the others."""
+    filled = [sum(x * k for x, k in p.items()) for p, _ in patterns]
+    free = sum(n * (capacity - f) for (_, n), f in zip(patterns, filled, strict=True))
+    gone = -(-free // capacity)
+    out = []
+    for i in sorted(range(len(patterns)), key=lambda i: (filled[i], sorted(patterns[i][0].items()))):
+        pattern, n = patterns[i]
+        cut = min(n, gone)
+        gone -= cut
+        if n > cut:
+            out.append((pattern, n - cut))
+    return out
