@@ -229,11 +229,17 @@ def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that ``line_dedup_report`` removes cut from the text; same rows, same columns."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the lines that ``line_dedup_report`` removes cut from the text; same columns.
+
+    The same rows too, unless ``drop_emptied``: then a document that has lost lines and holds nothing but blank lines
+    goes. Texts that lose no line, empty and null ones among them, always stay as they are.
+    """
     gone = removals(text_rows(docs, id_col, text_col)).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "removed")
     text = docs[text_col]
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == gone["gone_mark"]), "left")
     cut = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone["removed"], i)), "\n")
     new = F.when(gone["removed"].isNull(), text).otherwise(cut)
+    if drop_emptied:
+        joined = joined.where(gone["removed"].isNull() | (F.trim(F.translate(cut, "\n", "")) != ""))
     return joined.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns))

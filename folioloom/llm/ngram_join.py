@@ -81,7 +81,7 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
     return n
 
 
-_SIGN_SCHEMA = "doc_id long, node binary, n_shingles long, sig binary, bands array<long>"
+_SIGN_SCHEMA = "doc_id long, mark long, node binary, n_shingles long, sig binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sig.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "n_shingles", "sig", "bands"],
+                [part.column(0).cast(pa.int64()), part.column(2), pa.array(node, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "node", "n_shingles", "sig", "bands"],
             )
 
 
@@ -241,34 +241,64 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     4. The components of the verified links are the classes.
 
     Null and empty texts, and texts without a word, have no shingles: each is a class of its own without links. A text
-    of fewer than five words is one shingle. Repeated rows count as rows. A text all of whose rows have a null id is
-    compared with no other text. An empty table gives an empty result.
+    of fewer than five words is one shingle. Repeated rows count as rows. Rows with a null id are compared like all
+    others; a class of such rows alone has a null ``class_id``. An empty table gives an empty result.
     """
-    return classes(signatures(docs, id_col, text_col), docs, id_col, text_col)
+    return classes(signatures(docs, id_col, text_col), docs, id_col, text_col).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, mark): mark tells rows with one id and other text apart."""
+    return text_rows(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, n_shingles, sig, bands): MinHash signatures, settled."""
-    return settle(text_rows(docs, id_col, text_col).mapInArrow(_sign, _SIGN_SCHEMA), "signatures")
+    """(doc_id, mark, node, n_shingles, sig, bands): MinHash signatures, settled."""
+    return settle(_marked(docs, id_col, text_col).mapInArrow(_sign, _SIGN_SCHEMA), "signatures")
 
 
 def classes(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = signed.select("doc_id", "node", "n_shingles")
+    """(doc_id, mark, root, class_id, n_links, n_shingles) of all rows; root is the same for rows of one class, and null where a row is alone."""
+    rows = signed.select("doc_id", "mark", "node", "n_shingles")
+    at = F.xxhash64("doc_id", "mark").alias("at")  # of a node any row will do to fetch the text from
     nodes = settle(
-        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "nodes"
+        rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(at).alias("at"), F.count("*").alias("n_copies")), "nodes"
     )
     keys = signed.where("node is not null").select("node", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last")
     edges = keys.join(stars.select("key", "center"), "key").where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
     groups = settle(connected_components(edges, "candidates").withColumnRenamed("root", "grp"), "groups")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = groups.join(sizes, "grp").join(nodes, "node").select("node", "grp", "blocks", "rep", "n_copies")
-    sigs = signed.where("node is not null").select(F.col("doc_id").alias("rep"), "node", "sig")
-    texts = text_rows(docs, id_col, text_col).withColumnRenamed("doc_id", "rep")
-    sets = members.join(sigs, ["rep", "node"]).join(texts, "rep").mapInArrow(_reshingle, _SETS_SCHEMA)
+    members = groups.join(sizes, "grp").join(nodes, "node").select("node", "grp", "blocks", "at", "n_copies")
+    sigs = signed.where("node is not null").select(at, "node", "sig")
+    texts = _marked(docs, id_col, text_col).select(at, "text")
+    sets = members.join(sigs, ["at", "node"]).join(texts, "at").mapInArrow(_reshingle, _SETS_SCHEMA)
     return _finish(rows, nodes, sets)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: the one with the smallest id, and of texts with that id one.
+
+    Rows are told apart by id and text, so another text with the id of a row that goes stays. A row that is repeated
+    and has a word is a copy of itself, and one stays. Texts without a word are in no class: all their rows stay. Same
+    columns. An empty table gives an empty result.
+    """
+    found = settle(classes(signatures(docs, id_col, text_col), docs, id_col, text_col).where("root is not null").select("doc_id", "mark", "root", "class_id"), "near-classes")
+    least = F.expr("doc_id <=> class_id")
+    keep = found.groupBy("root").agg(F.count("*").alias("n"), F.min(F.when(least, F.col("mark"))).alias("stays"))
+    named = settle(lookup(found, settle(keep, "near-keep"), "root", "n", found.count()).select("doc_id", "mark", (least & (F.col("mark") == F.col("stays"))).alias("kept")), "near-named")
+    gone = named.where("not kept").select("doc_id", "mark").distinct().toDF("gone_id", "gone_mark")
+    twice = settle(named.where("kept").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark").toDF("gone_id", "gone_mark"), "near-twice")
+
+    def is_in(table: DataFrame):
+        return docs[id_col].eqNullSafe(table["gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == table["gone_mark"])
+
+    left = docs.join(gone, is_in(gone), "left_anti")
+    if twice.head(1):
+        left = left.join(twice, is_in(twice), "left_anti").unionByName(left.join(twice, is_in(twice), "left_semi").dropDuplicates([id_col, text_col]))
+    return left
+
+
 def _finish(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     block = F.expr("pmod(xxhash64(node), blocks)")
     pairs = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
@@ -283,13 +313,14 @@ def _finish(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
     named = parts.join(nodes.select("node", "rep"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "class_id")
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.lit(True).alias("linked")), "root").select("node", "root", "class_id", "linked")
     table = settle(
         nodes.join(named, "node", "left")
         .join(links, "node", "left")
-        .where("n_copies > 1 or class_id is not null")
+        .where("n_copies > 1 or linked")
         .select(
             "node",
+            F.coalesce("root", "node").alias("root"),
             F.coalesce("class_id", "rep").alias("class_id"),
             "n_copies",
             (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
@@ -299,6 +330,8 @@ def _finish(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     out = lookup(rows, table, "node", "n_copies", rows.count())
     return out.select(
         "doc_id",
+        "mark",
+        "root",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "n_shingles",

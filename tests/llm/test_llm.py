@@ -121,6 +121,23 @@ def test_ngram_join_edges(spark):
     assert ngram_join.ngram_join(docs(spark, [])).count() == 0
 
 
+def test_keep_one(spark):
+    rng = random.Random(41)
+    a, b, c, d = (prose(60, rng) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (5, b + " more"), (7, a + " x"), (3, c), (3, d), (4, None), (4, None), (6, ""), (8, "!"), (8, "!"), (9, prose(9, rng)), (9, prose(9, rng)), (None, d), (None, "lone words of a row without an id"), (3, c)]
+    table = docs(spark, rows).withColumnsRenamed({"node": "root", "h": "mark"})
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(table).collect()), key=str)
+    gone = [(2, a), (5, b + " more"), (7, a + " x"), (None, d), (3, c)]
+    want = list(rows)
+    for r in gone:
+        want.remove(r)
+    assert got == sorted(want, key=str) and ngram_join.keep_one(table).columns == table.columns
+    assert ngram_join.keep_one(docs(spark, [])).count() == 0
+    # rows with a null id have links too
+    joined = {(r["doc_id"], r["n_links"]): r["class_id"] for r in ngram_join.ngram_join(docs(spark, [(None, a), (None, a + " x"), (None, b)])).collect()}
+    assert joined == {(None, 1): None, (None, 0): None}
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     for n in (20, 60, 140):
         m = ngram_join.least_matches(n)
@@ -439,19 +456,51 @@ def test_lookup_splits_heavy_keys(spark):
     assert got.count() == 100 and got.where("v is not null").count() == 30
 
 
+PIPED = "doc_id long, text string, lang string, source string, n_chars long"
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage and the whole against brute force: toxic words, lines, near copies, and the tokens packed."""
     import corpus_pipeline as cp
+    from tokenizers import Tokenizer
 
     rng = random.Random(14)
-    clean = [prose(60, rng) for _ in range(200)]
-    texts = [(k, clean[k] + "\nshared footer line of this corpus") for k in range(200)] + [(1000 + k, prose(40, rng) + " scum clown moron") for k in range(30)] + [(2000, "\n".join(" ".join(clean[0].split()[k : k + 15]) for k in range(0, 60, 15)))]
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(1000 <= i < 2000)) for i, _ in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    rows = cp.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in rows}
-    # toxic documents go, whether held out or not; of the two that are near each other the first stays
-    assert ids == set(range(200))
-    # the shared line stays in the first document only
-    first = line_dedup.line_dedup(spark.read.parquet(f"{tmp_path}/documents.parquet"))
-    assert first.where("text like '%shared footer%'").count() == 1
+    clean = [prose(60, rng) for _ in range(120)]
+    texts = [(k, clean[k] + "\nshared footer line of this corpus") for k in range(120)] + [(1000 + k, prose(40, rng) + " scum clown moron") for k in range(30)]
+    texts += [(2000, "\n".join(" ".join(clean[0].split()[k : k + 15]) for k in range(0, 60, 15))), (2001, clean[5]), (2002, None), (2003, ""), (2004, "\n \n"), (5, texts[5][1]), (6, "another text with the id of an older one")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], PIPED).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(1000 <= i < 2000)) for i in {i for i, _ in texts}], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def piece(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = common.settle(cp.drop_toxic(spark, read, str(tmp_path)), "t")
+    safe = [(i, t) for i, t in texts if not 1000 <= i < 2000]
+    assert piece(kept) == sorted(safe, key=str)
+    cut = common.settle(cp.drop_lines(spark, kept, str(tmp_path)), "l")
+    # the shared line stays with document 0 alone; what 2001 says stands in 5; repeated rows lose the same lines
+    lined = [(i, t if i in (0, 2000, 2002, 2003, 2004) or t.startswith("another") else t.split("\n")[0]) for i, t in safe if i != 2001]
+    assert piece(cut) == sorted(lined, key=str) and all(r["n_chars"] == (r["text"] and len(r["text"]) or r["text"] and 0) or not r["text"] for r in cut.collect())
+    one = common.settle(cp.drop_near_copies(spark, cut, str(tmp_path)), "n")
+    left = list(lined)
+    left.remove((2000, texts[150][1]))
+    left.remove((5, clean[5]))
+    assert piece(one) == sorted(left, key=str)
+    library, ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for i, t in left:
+        ids[i] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    for rows in (cp.pack(spark, one, str(tmp_path)), cp.run(spark, str(tmp_path))):
+        held = Counter()
+        for r in rows.collect():
+            held[r["doc_id"]] += r["length"]
+        assert held == ids
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "ngram_join", "packing"]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], PIPED).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
