@@ -13,25 +13,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model (operator 5) rejects go."""
+    """Documents that the toxicity model (operator 5) rejects go; a null text is judged as the empty one, repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject_toxic(docs, toxicity.train(docs, labels)).select(COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of like lines (operator 1) one stays; n_chars is that of the new text."""
-    cut = line_dedup.line_dedup(docs)
+    """Of like lines (operator 1) one stays; n_chars is that of the new text.
+
+    A document that loses lines and has nothing but blank ones left goes: all it said stands elsewhere. Documents that
+    lose nothing stay as they are, null and empty texts and rows with a null id among them; repeated rows lose the
+    same lines.
+    """
+    cut = line_dedup.line_dedup(docs, drop_emptied=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (operator 10) the document with the smallest id stays."""
-    gone = ngram_join.ngram_join(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each class of near-duplicates (operator 10) the row with the smallest id stays.
+
+    Rows are told apart by id and text; of a repeated row one stays. Texts without a word are in no class and stay.
+    """
+    return ngram_join.keep_one(docs).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens (operator 9)."""
+    """Sequences of at most 2048 tokens (operator 9); a null text is one token, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
