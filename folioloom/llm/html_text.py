@@ -48,60 +48,107 @@ MARKS = frozenset(
 WHOLE = frozenset("html body main article".split())
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, within an article or main element) of every block outside menus, forms, adverts and the like.
-
-    One pass over the tags. An element that OUTSIDE or MARKS names is skipped to its end, counting nested elements of
-    its own name; a header is skipped unless it lies within an article. White space becomes one space; a block ends
-    where a block element begins or ends.
+REST, CORE, PLAIN = 0, 1, 2
+
+# Which open elements a start tag ends by itself, and the elements beyond which it ends none.
+CLOSES = {
+    "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"), "optgroup": ("option optgroup", "select"),
+    "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "thead": ("caption thead tbody tfoot tr td th", "table"), "tbody": ("caption thead tbody tfoot tr td th", "table"), "tfoot": ("caption thead tbody tfoot tr td th", "table"),
+}
+CLOSES = {tag: (frozenset(ended.split()), frozenset(within.split())) for tag, (ended, within) in CLOSES.items()}
+#: An open paragraph ends where another block begins, but not beyond one of these.
+AROUND_P = frozenset("button caption table td th".split())
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """(text, zone) of every block: CORE within an article or main element, REST in menus, forms, adverts and the like, else PLAIN.
+
+    One pass over the tags with a stack of open elements. End tags that HTML lets authors leave out are supplied; an
+    end tag ends what was opened within its element, and is ignored without one. An element that OUTSIDE or MARKS names
+    is REST, and so is a header outside an article. Scripts, styles and the head have no text. White space becomes one
+    space; a block ends where a block element begins or ends.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
-    skip, depth, inside = "", 0, 0
+    stack: list[tuple[str, int]] = []  # element, and its zone or PLAIN
+    core = rest = head = 0
 
     def flush() -> None:
         if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((text, inside > 0))
+            if not head and (text := " ".join(html.unescape("".join(parts)).split())):
+                out.append((text, REST if rest else CORE if core else PLAIN))
             parts.clear()
 
+    def end(at: int) -> None:
+        nonlocal core, rest, head
+        flush()
+        for tag, zone in stack[at:]:
+            core -= zone == CORE
+            rest -= zone == REST
+            head -= tag == "head"
+        del stack[at:]
+
+    def find(ended: frozenset[str], within: frozenset[str]) -> int:
+        """Where on the stack the outermost element of ``ended`` is, looked for up to one of ``within``; else its height."""
+        found = len(stack)
+        for at in range(len(stack) - 1, -1, -1):
+            if stack[at][0] in ended:
+                found = at
+            elif stack[at][0] in within:
+                break
+        return found
+
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            if not skip:
-                parts.append(text)
+            parts.append(text)
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None:
             continue
         tag = tag.lower()
-        closing = bool(m["close"] or m["close2"])
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            continue
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             flush()
         elif tag == "br":
             parts.append(" ")
-        if closing:
-            if tag in ("article", "main") and inside:
-                inside -= 1
+        if tag in VOID:
             continue
-        rest = m["rest"] or m["rest2"] or ""
-        if rest.endswith("/") and tag not in BLOCKS or tag in VOID:
+        if m["close"] or m["close2"]:
+            for at in range(len(stack) - 1, -1, -1):
+                if stack[at][0] == tag:
+                    end(at) if block or stack[at][1] != PLAIN else stack.pop(at)
+                    break
+                if not block and stack[at][0] in BLOCKS:
+                    break  # an inline element ends within its block
             continue
-        if tag in OUTSIDE or tag == "header" and not inside or rest and tag not in WHOLE and _marked(rest, inside):
-            flush()
-            skip, depth = tag, 1
+        if tag in CLOSES:
+            if (at := find(*CLOSES[tag])) < len(stack):
+                end(at)
+        elif block and tag != "option" and (at := find(_P, AROUND_P)) < len(stack):
+            end(at)
+        if tag == "body" and head:
+            end(find(_HEAD, frozenset()))
+        attributes = m["rest"] or m["rest2"] or ""
+        if attributes.endswith("/") and not block:
             continue
-        if tag in ("article", "main"):
-            inside += 1
+        zone = PLAIN
+        if tag in OUTSIDE or tag == "header" and not core or attributes and tag not in WHOLE and _marked(attributes, core):
+            zone = REST
+            flush()
+        elif tag in ("article", "main"):
+            zone = CORE
+        stack.append((tag, zone))
+        core += zone == CORE
+        rest += zone == REST
+        head += tag == "head"
     flush()
     return out
 
 
+_P, _HEAD = frozenset(["p"]), frozenset(["head"])
+
+
 def _marked(attributes: str, inside: int) -> bool:
     for name, value in _ATTR.findall(attributes):
         name = name.lower()
@@ -112,30 +159,53 @@ def _marked(attributes: str, inside: int) -> bool:
     return False
 
 
-def shared_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Indices into ``mine`` of a longest common subsequence with ``other``, by Hunt and Szymanski."""
+def shared_lines(mine: list[int], other: list[int]) -> list[tuple[int, int]]:
+    """(place in ``mine``, place in ``other``) of a longest common subsequence, by Hunt and Szymanski.
+
+    What both begin or end with is always part of one; only what lies between is searched.
+    """
+    first, last = 0, 0
+    while first < min(len(mine), len(other)) and mine[first] == other[first]:
+        first += 1
+    while last < min(len(mine), len(other)) - first and mine[-1 - last] == other[-1 - last]:
+        last += 1
     places: dict[int, list[int]] = {}
-    for j in range(len(other) - 1, -1, -1):
+    for j in range(len(other) - last - 1, first - 1, -1):
         places.setdefault(other[j], []).append(j)
     ends: list[int] = []
     links: list[tuple] = []
-    for i, line in enumerate(mine):
-        for j in places.get(line, ()):
+    for i in range(first, len(mine) - last):
+        for j in places.get(mine[i], ()):
             k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
+            link = (i, j, links[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
                 links.append(link)
             else:
                 ends[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
+    between, link = [], links[-1] if links else None
     while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+        between.append(link[:2])
+        link = link[2]
+    return [(i, i) for i in range(first)] + between[::-1] + [(len(mine) - k, len(other) - k) for k in range(last, 0, -1)]
+
+
+def deletions(article: bool, mine: list[int], own: list[bool], other: list[int], others: list[bool]) -> tuple[int, int, list[int]]:
+    """(shared lines, deleted ones, deleted ones among the page's own), the last as places in its own lines.
+
+    ``own`` tells which lines structure takes for the page's own: those of its article or, without one, those outside
+    menus and the like. A shared line is the site's, and deleted, with one exception: where a page has an article and
+    the other page has the line among its own too, both may well tell the same.
+    """
+    shared = shared_lines(mine, other)
+    place = [0]
+    for x in own:
+        place.append(place[-1] + x)
+    gone = [(i, own[i]) for i, j in shared if not (article and own[i] and others[j])]
+    return len(shared), len(gone), [place[i] for i, x in gone if x]
 
 
-_PARSED = "row long, page_id {kind}, url string, host string, path string, article boolean, lines array<string>, hashes array<long>"
+_PARSED = "row long, page_id {kind}, url string, host string, path string, article boolean, lines array<string>, hashes array<long>, own array<boolean>"
 
 
 def _parse(kind: pa.DataType):
@@ -144,18 +214,19 @@ def _parse(kind: pa.DataType):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                article, lines, hashes = [], [], []
+                article, lines, hashes, own = [], [], [], []
                 for page in part.column(4).to_pylist():
                     found = blocks(page)
-                    kept = [t for t, within in found if within]
-                    article.append(bool(kept))
-                    lines.append(kept or [t for t, _ in found])
+                    article.append(any(zone == CORE for _, zone in found))
+                    mine = CORE if article[-1] else PLAIN
+                    own.append([zone == mine for _, zone in found])
+                    lines.append([t for t, zone in found if zone == mine])
                     hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
                 ids = pa.array(range(row, row + part.num_rows), pa.int64())
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *(part.column(k) for k in range(4)), pa.array(article, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-                    names=["row", "page_id", "url", "host", "path", "article", "lines", "hashes"],
+                    [ids, *(part.column(k) for k in range(4)), pa.array(article, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.bool_()))],
+                    names=["row", "page_id", "url", "host", "path", "article", "lines", "hashes", "own"],
                 )
 
     return run
@@ -227,16 +298,18 @@ def nearest_pages(parsed: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars, n_shared.
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_shared, n_deleted.
 
-    Each page becomes lines of text, one a block, without the elements that are never main text. It is paired with the
-    page of its host whose path is nearest, and the two line sequences are aligned by their longest common subsequence
-    (``n_shared`` is its length). On a page without an article or main element the shared lines are deleted: they are
-    the site's, not the page's. On a page that has one, its text is that element's; shared lines within it stay, since
-    pages may well tell the same: in the test tables three paragraphs in ten of an article occur again on its host.
+    Each page becomes lines of text, one a block. It is paired with the page of its host whose path is nearest, the two
+    line sequences are aligned by their longest common subsequence (``n_shared`` is its length), and shared lines are
+    deleted (``n_deleted``), as ``deletions`` says: all of them on a page without an article or main element; on one
+    that has it, all but those that the other page has in its article as well, since pages may well tell the same: in
+    the test tables paragraphs of an article occur again on its host. What is left outside the article, or in a menu, form,
+    advert or the like, and differs from page to page, goes by the structure of the page.
 
     Null html counts as empty and gives an empty text. A null URL has an empty host like all URLs without ``://``.
-    Repeated rows are rows of their own and may be each other's partner. An empty table gives an empty result.
+    Repeated rows are rows of their own and may be each other's partner. Lines are compared by a hash of 64 bits. An
+    empty table gives an empty result.
     """
     rows = pages.select(
         pages[id_col].alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"),
@@ -245,19 +318,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind = rows.schema["page_id"].dataType.simpleString()
     parsed = settle(rows.mapInArrow(_parse(kind), _PARSED.format(kind=kind)), "page-lines")
     pairs = nearest_pages(parsed)
-    others = parsed.select(F.col("row").alias("partner"), F.col("hashes").alias("other"))
-    both = parsed.select("row", "article", "hashes").join(pairs, "row").join(others, "partner").select("row", "article", "hashes", "other")
+    others = parsed.select(F.col("row").alias("partner"), F.col("hashes").alias("other"), F.col("own").alias("others"))
+    # both sides grow with the pages: neither is broadcast
+    both = parsed.select("row", "article", "hashes", "own").join(pairs.hint("merge"), "row").join(others.hint("merge"), "partner")
+    both = both.select("row", "article", "hashes", "own", "other", "others")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = [shared_lines(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            drop = [[] if article else s for article, s in zip(batch.column(1).to_pylist(), shared, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in shared], pa.int32()), pa.array(drop, pa.list_(pa.int32()))], names=["row", "n_shared", "drop"]
-            )
+            found = [deletions(*page) for page in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True)]
+            counts = [pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["row", "n_shared", "n_deleted", "drop"])
 
-    aligned = settle(both.mapInArrow(align, "row long, n_shared int, drop array<int>"), "page-shared")
+    aligned = settle(both.mapInArrow(align, "row long, n_shared int, n_deleted int, drop array<int>"), "page-shared")
     joined = parsed.select("row", "page_id", "url", "lines").join(aligned, "row", "left")
     kept = F.when(F.coalesce(F.size("drop"), F.lit(0)) == 0, F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~F.array_contains("drop", i)))
     text = F.array_join(kept, "\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_shared", "n_deleted")]
+    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), *counts)
