@@ -1,4 +1,4 @@
-"""Token counts of whole texts; huge ones in overlapping chunks that are spliced at proven boundaries."""
+"""Token counts of whole texts; long ones in overlapping chunks that are spliced at proven boundaries."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from .common import text_rows
 from .pieces import Memo, single_spaced
 
-CHUNK = 65_536  # code points of a chunk before its overlap; a longer text is huge
-OVERLAP = 512
+CHUNK = 4_096  # code points of a chunk before its overlap; a longer text is encoded in chunks
+OVERLAP = 256
 LIMIT = 1024
 #: No boundary so close to the end of a chunk is used: a special string could be cut off there.
 GUARD = 32
@@ -35,58 +35,80 @@ class Counter:
         self.chunk, self.overlap = chunk, overlap
         self.widened = 0
         self._memo = Memo()
+        self._starts_of = Memo(lambda piece: [a for a, _ in self.tokenizer.encode(piece, add_special_tokens=False).offsets])
 
     def _library(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Bring the counts of pieces, each behind a space, into the memo: all new ones in one call of the library."""
+        known = set(pieces)
+        self._memo.room(len(known))
+        new = self._memo.absent(known)
+        self._memo.update(zip(new, self._library([" " + p for p in new]), strict=True))
+
     def count_many(self, texts: list[str]) -> list[int]:
-        """Counts of some texts. Pieces new to the memo are encoded by the library, all in one call."""
-        memo, out = self._memo, []
-        for text in texts:
-            if len(text) > self.chunk:
-                out.append(self.count_huge(text))
-            elif not single_spaced(text):
-                out.append(self._library([text])[0])
-            else:
-                first, *rest = text.split(" ")
-                known = set(rest)
-                memo.room(len(known))
-                new = memo.absent(known)
-                memo.update(zip(new, self._library([" " + p for p in new]), strict=True))
-                out.append(self._library([first])[0] * bool(first) + sum(map(memo.__getitem__, rest)))
-        return out
-
-    def _starts(self, text: str, at: int, end: int) -> list[int]:
-        """Where the tokens of text[at:end] start, in the whole text."""
-        return [at + a for a, _ in self.tokenizer.encode(text[at:end], add_special_tokens=False).offsets]
-
-    def count_huge(self, text: str) -> int:
+        return [self.count_long(t) if len(t) > self.chunk else self._whole(t) for t in texts]
+
+    def _whole(self, text: str) -> int:
+        if not single_spaced(text):
+            return self._library([text])[0]
+        first, *rest = text.split(" ")
+        self._learn(rest)
+        return self._library([first])[0] * bool(first) + sum(map(self._memo.__getitem__, rest))
+
+    def _encode(self, text: str, at: int, end: int, head: int, tail: int) -> tuple[int, list[int], list[int]]:
+        """Of the encoding of text[at:end]: its tokens, where those start that start before ``head``, and those from ``tail`` on."""
+        part = text[at:end]
+        if not single_spaced(part):
+            starts = [at + a for a, _ in self.tokenizer.encode(part, add_special_tokens=False).offsets]
+            return len(starts), [s for s in starts if s < head], [s for s in starts if s >= tail]
+        first, *rest = part.split(" ")
+        self._learn(rest)
+        n = self._library([first])[0] * bool(first) + sum(map(self._memo.__getitem__, rest))
+        pieces = [first, *(" " + p for p in rest)]
+        before, place, k = [], at, 0
+        while place < head and k < len(pieces):
+            before += [place + a for a in self._starts_of[pieces[k]]] if pieces[k] else []
+            place, k = place + len(pieces[k]), k + 1
+        after, place, k = [], end, len(pieces)
+        while place > tail and k:
+            k -= 1
+            place -= len(pieces[k])
+            after += [place + a for a in self._starts_of[pieces[k]]] if pieces[k] else []
+        return n, [s for s in before if s < head], [s for s in after if s >= tail]
+
+    def count_long(self, text: str) -> int:
         """Splice chunks where both encodings start a token and the pre-tokenizer must cut.
 
         It must cut between a letter and what isn't one: no token of its pattern goes on from a letter to another
         character, and nothing of the pattern looks back. Where two chunks share no such boundary, the earlier one is
-        encoded anew with an overlap twice as wide, if need be to the end of the text.
+        encoded anew with an overlap twice as wide, if need be to the end of the text. Of a chunk only its number of
+        tokens and those that start within its overlaps are kept.
         """
-        n, total, begin, at = len(text), 0, 0, 0
-        overlap = self.overlap
+        if single_spaced(text):
+            self._learn(text.split(" ")[1:])
+        n, total, begin, at, overlap = len(text), 0, 0, 0, self.overlap
         end = min(n, at + self.chunk + overlap)
-        starts = self._starts(text, at, end)
+        head = at
+        tokens, before, after = self._encode(text, at, end, head, end - overlap)
         while end < n:
             next_at = end - overlap
-            next_end = min(n, next_at + self.chunk + overlap)
-            following = self._starts(text, next_at, next_end)
-            ours, theirs = set(starts), set(following)
+            next_end = min(n, next_at + self.chunk + self.overlap)
+            following = self._encode(text, next_at, next_end, end, next_end - self.overlap)
+            both = set(after).intersection(following[1])
             edges = (m.end() for m in _EDGE.finditer(text, next_at, end))
-            splice = max((p for p in edges if p <= end - GUARD and p > begin and p in ours and p in theirs), default=None)
+            splice = max((p for p in edges if p <= end - GUARD and p > begin and p in both), default=None)
             if splice is None:
                 self.widened += 1
                 overlap *= 2
                 end = min(n, end + overlap)
-                starts = self._starts(text, at, end)
+                tokens, before, after = self._encode(text, at, end, head, end - overlap)
                 continue
-            total += sum(begin <= s < splice for s in starts)
-            begin, at, end, starts, overlap = splice, next_at, next_end, following, self.overlap
-        return total + sum(s >= begin for s in starts)
+            total += tokens - sum(s < begin for s in before) - sum(s >= splice for s in after)
+            begin, at, head, end, overlap = splice, next_at, end, next_end, self.overlap
+            tokens, before, after = following
+        return total + tokens - sum(s < begin for s in before)
 
 
 @lru_cache(maxsize=2)

@@ -160,14 +160,24 @@ def test_bpe(spark):
     assert rows[1]["n_tokens"] == 0 and rows[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest() and rows[3]["ids"] == own.encode_ordinary(" \t\n")
 
 
+def token_counts_of(spark, path, texts):
+    return token_count.token_counts(docs(spark, list(enumerate(texts))), path).orderBy("doc_id").collect()
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     counter, rng = token_count.Counter(path, chunk=40, overlap=36), random.Random(6)
     parts = ["a", "word", "é", " ", "  ", "\n", "'s", "'", ".", "1", "中", "<|endoftext|>", "x" * 30, "1" * 50]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 150))) for _ in range(400)]
     assert counter.count_many(texts) == counter._library(texts) and counter.widened
+    # with the registered chunks, texts of single spaces and of others, long ones among them
+    counter = token_count.Counter(path)
+    texts = [sep.join(prose(rng.randint(1, 40), rng) + rng.choice(["", ".", ",", "é", "<|endoftext|>"]) for _ in range(rng.randint(1, 120))) for sep in (" ", ". ", "\n", "  ", "") for _ in range(12)]
+    assert sum(len(t) > token_count.CHUNK for t in texts) > 20 and counter.count_many(texts) == counter._library(texts)
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_count.token_counts(edge_docs(spark), path).where("doc_id in (1, 2, 8)").collect()}
     assert got[1] == got[2] == (0, 0) and got[8][0] == 23
+    over = token_counts_of(spark, path, ["word " * 1024, "word " * 1025, "a" * 3000])
+    assert [r["over_limit"] for r in over] == [r["n_tokens"] > 1024 for r in over] and {r["over_limit"] for r in over} == {True, False}
     assert token_count.token_counts(docs(spark, []), path).count() == 0
 
 
