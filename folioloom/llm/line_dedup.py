@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, settle, text_rows
+from .common import settle, text_rows
 from .graph import connected_components
 
 SHINGLE, THRESHOLD = 9, 0.8
 HASHES = 16
-STRIDE = 4  # shingles hashed in one row
+STRIDE = 8  # shingles hashed in one row
 SKETCH = 16  # numbers of 64 bits in the parity sketch of a line
 BLOCK = 64  # lines of one band compared at once
 SMALL = 400_000  # rows of four numbers that may be broadcast
@@ -96,15 +96,16 @@ def _with(rows: DataFrame, few: DataFrame, keys: list[str], number: int) -> Data
     return rows.join(F.broadcast(few) if number <= SMALL else few, keys)
 
 
-def _sketched(found: DataFrame) -> DataFrame:
-    """(h, size, odd): the number of shingles of a line, and for each bit of the sketch the parity of those that fall on it.
+def _sketched(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, size, odd, bands): the number of shingles of a line, for each bit of the sketch the parity of those that fall on it, its bands.
 
     Bits in which two sketches differ are no more than the shingles that only one of the lines has.
     """
     sets = _once(found, "s", _hashed(F.col("line"))).select("h", F.size("s").alias("size"), F.explode("s").alias("x"))
     bit = F.expr("shiftleft(1L, cast(pmod(shiftright(x, 8), 64) as int))")
     words = [F.bit_xor(F.when(F.expr(f"pmod(x, {SKETCH}) = {k}"), bit).otherwise(0)).alias(f"o{k}") for k in range(SKETCH)]
-    return sets.groupBy("h", "size").agg(*words).select("h", "size", F.array(*(f"o{k}" for k in range(SKETCH))).alias("odd"))
+    sketches = sets.groupBy("h", "size").agg(*words).select("h", "size", F.array(*(f"o{k}" for k in range(SKETCH))).alias("odd"))
+    return sketches.join(members.groupBy("h").agg(F.collect_list("key").alias("bands")), "h")  # of each line twenty at most
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -118,38 +119,55 @@ def _may_be_alike(a: Column, b: Column) -> Column:
     return close & (_differ(a, b) * (1 + THRESHOLD) <= (a["size"] + b["size"]) * (1 - THRESHOLD) + 1e-9)
 
 
+def _units(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
+    """A row a pair of blocks, or block with itself: (key, i, j, us), us being the lines of both."""
+    members = dealt.join(sketches, "h").withColumn("own", F.expr("pmod(xxhash64(h), blocks)"))
+    both = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
+    line = F.struct("own", "h", "root", "size", "odd", "bands").alias("u")
+    units = members.select("key", F.explode(both).alias("p"), line).groupBy("key", "p").agg(F.collect_list("u").alias("us"))
+    return units.where(F.size(F.array_distinct("us.root")) > 1).select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "us")
+
+
+def _near(units: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b, ra, rb): pairs of lines of different components that may be alike; with ``nearest`` one for each line and row.
+
+    A pair that meets in several bands counts in the first alone.
+    """
+
+    def met(a: Column) -> Column:
+        apart = lambda b: (b["own"] == F.col("j")) & (a["root"] != b["root"]) & ((F.col("i") < F.col("j")) | (a["h"] < b["h"]))
+        here = lambda b: F.array_min(F.array_intersect(a["bands"], b["bands"])) == F.col("key")
+        found = F.filter("us", lambda b: apart(b) & _may_be_alike(a, b) if nearest else apart(b) & _may_be_alike(a, b) & here(b))
+        pair = lambda b: F.struct(_differ(a, b).alias("d"), a["h"].alias("a"), b["h"].alias("b"), a["root"].alias("ra"), b["root"].alias("rb"))
+        pairs = F.transform(found, pair)
+        return F.when(F.size(pairs) > 0, F.array(F.array_min(pairs))).otherwise(F.slice(pairs, 1, 0)) if nearest else pairs
+
+    hits = F.flatten(F.transform(F.filter("us", lambda a: a["own"] == F.col("i")), met))
+    turned = F.expr("e.a > e.b")
+    ends = [F.when(turned, F.col(f"e.{x}")).otherwise(F.col(f"e.{y}")).alias(y) for x, y in (("b", "a"), ("a", "b"), ("rb", "ra"), ("ra", "rb"))]
+    return units.select(F.explode(hits).alias("e")).select(*ends).distinct()
+
+
 def _rest(members: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b) roots of components that a link between members of one band joins; (key, h) are ``members``.
 
     Only bands whose members lie in several components are left to do. Such a band is dealt into blocks of about BLOCK
     lines, and every pair of blocks, or block with itself, is one row that compares the sketches of its lines in place.
-    The pairs that a sketch can't rule out are verified like all others: of each two components first the pair whose
-    sketches differ least, then all whose components no such pair has joined.
+    The pairs that a sketch can't rule out are verified like all others. In bands of several blocks each line first
+    meets the one whose sketch is nearest in each block, so that these pairs grow with the members; only lines whose
+    components that doesn't join then meet all others.
     """
     rooted = members.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     rooted = settle(rooted.select("key", "h", "root"), "line-rooted")
     left = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     left = settle(left.select("key", F.expr(f"ceil(n / {BLOCK})").alias("blocks")), "line-left")
     dealt = settle(rooted.join(left, "key"), "line-dealt")
-    sketches = settle(_sketched(found.join(dealt.select("h").distinct(), "h", "left_semi")), "line-sketches")
-    dealt = dealt.join(sketches, "h").withColumn("own", F.expr("pmod(xxhash64(h), blocks)"))
-    both = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
-    units = dealt.select("key", F.explode(both).alias("p"), F.struct("own", "h", "root", "size", "odd").alias("u")).groupBy("key", "p").agg(F.collect_list("u").alias("us"))
-    units = units.where(F.size(F.array_distinct("us.root")) > 1).select(F.col("p.i").alias("i"), F.col("p.j").alias("j"), "us")
-
-    def near(a: Column) -> Column:
-        meets = F.filter("us", lambda b: (b["own"] == F.col("j")) & (a["root"] != b["root"]) & ((F.col("i") < F.col("j")) | (a["h"] < b["h"])) & _may_be_alike(a, b))
-        return F.transform(meets, lambda b: F.struct(a["h"].alias("x"), a["root"].alias("rx"), b["h"].alias("y"), b["root"].alias("ry"), _differ(a, b).alias("d")))
-
-    hits = units.select(F.explode(F.flatten(F.transform(F.filter("us", lambda a: a["own"] == F.col("i")), near))).alias("e")).select("e.*")
-    turned = F.expr("rx > ry")
-    ends = {"ra": F.least("rx", "ry"), "rb": F.greatest("rx", "ry"), "a": F.when(turned, F.col("y")).otherwise(F.col("x")), "b": F.when(turned, F.col("x")).otherwise(F.col("y"))}
-    pairs = settle(hits.select(*(c.alias(n) for n, c in ends.items()), "d").distinct(), "line-pairs")
-    nearest = pairs.groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b"), "d").alias("p")).select("ra", "rb", "p.a", "p.b")
-    joined = settle(_links(nearest, found).select("ra", "rb"), "line-joined")
-    tops = connected_components(joined.toDF("a", "b"), "line-tops")
-    apart = pairs.join(tops.toDF("ra", "ta"), "ra", "left").join(tops.toDF("rb", "tb"), "rb", "left")
-    apart = apart.where(F.coalesce("ta", "ra") != F.coalesce("tb", "rb")).join(nearest.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "ra", "rb")
+    sketches = settle(_sketched(found.join(dealt.select("h").distinct(), "h", "left_semi"), dealt), "line-sketches")
+    first = settle(_near(_units(dealt.where("blocks > 1"), sketches), True), "line-nearest")
+    joined = settle(_links(first, found).select("ra", "rb"), "line-joined")
+    tops = connected_components(joined.toDF("a", "b"), "line-tops").withColumnRenamed("root", "top")
+    merged = dealt.join(tops.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    apart = settle(_near(_units(merged, sketches), False), "line-apart")
     return joined.union(_links(apart, found).select("ra", "rb")).toDF("a", "b")
 
 
@@ -192,8 +210,8 @@ def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def removals(rows: DataFrame) -> DataFrame:
     """(doc_id, mark, removed array<int>, kept_in array<long>): lines to go, and the document that keeps the like of each."""
     occurrences, duplicates = line_classes(rows)
-    judged = lookup(occurrences, duplicates.withColumnRenamed("h2", "of"), "h", "n", occurrences.count())
-    gone = judged.where(F.col("keep_doc").isNotNull() & (F.col("h2") == F.col("of")) & ~((F.col("doc_id") == F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))
+    judged = occurrences.join(duplicates.drop("n"), ["h", "h2"])  # two tables, so that a skewed partition can be split
+    gone = judged.where(~((F.col("doc_id") == F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))))
     listed = gone.distinct().groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("line_no", "keep_doc"))).alias("gone"))
     return listed.select("doc_id", "mark", F.col("gone.line_no").alias("removed"), F.col("gone.keep_doc").alias("kept_in"))
 
