@@ -9,11 +9,11 @@ from ..functions.text import strip
 
 # Header texts of the agenda roles, in the order in which exact matches are preferred.
 ALIASES = {
-    "order_no": "顺序号 顺序 序号 发言顺序 排序 order",
-    "time_range": "时间 发言时间 汇报时间 报告时间",
-    "title": "标题 发言标题 材料名称 议题名称 主题 研发载体名称 载体名称 单位名称 发言单位 机构名称",
-    "region": "所在地 地区 省市 省份 地域",
-    "code": "编号 材料编号 议题编号 文号 文件编号",
+    "order_no": ("顺序号", "顺序", "序号", "发言顺序", "排序", "order"),
+    "time_range": ("时间", "发言时间", "汇报时间", "报告时间"),
+    "title": ("标题", "发言标题", "材料名称", "议题名称", "主题", "研发载体名称", "载体名称", "单位名称", "发言单位", "机构名称"),
+    "region": ("所在地", "地区", "省市", "省份", "地域"),
+    "code": ("编号", "材料编号", "议题编号", "文号", "文件编号"),
 }
 WEIGHTS = {"order_no": 3, "title": 3, "time_range": 1, "region": 1, "code": 1}
 
@@ -21,7 +21,7 @@ WEIGHTS = {"order_no": 3, "title": 3, "time_range": 1, "region": 1, "code": 1}
 def alias_rank(header: Column, role: str) -> Column:
     """Place of an exact alias, or 1000 where the header only contains one, or null."""
     low = F.lower(strip(header))
-    words = ALIASES[role].split()
+    words = ALIASES[role]
     out = F.when(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(low, w)), F.lit(1000))
     for k, w in reversed(list(enumerate(words))):
         out = F.when(low == w, F.lit(k)).otherwise(out)

@@ -46,18 +46,23 @@ def within_budget(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 @F.pandas_udf(ArrayType(StringType()))
 def pack_paragraphs(text: pd.Series) -> pd.Series:
-    """Paragraphs in order, packed into parts of at most 900 characters; a longer paragraph is a part of its own."""
+    """Paragraphs in order, packed into parts of at most 900 characters without line breaks; a longer paragraph is a part of its own.
+
+    A text without a paragraph is one part, as it is; null stays null.
+    """
 
     def pack(value: str | None) -> list[str] | None:
         if value is None:
             return None
-        parts: list[str] = []
+        parts, room = [], 0
         for p in (p.strip() for p in value.split("\n") if p.strip()):
-            if parts and len(parts[-1]) + 1 + len(p) <= 900:
-                parts[-1] += "\n" + p
+            if parts and len(p) <= room:
+                parts[-1].append(p)
+                room -= len(p)
             else:
-                parts.append(p)
-        return parts or [""]
+                parts.append([p])
+                room = 900 - len(p)
+        return ["\n".join(p) for p in parts] or [value]
 
     return text.map(pack)
 

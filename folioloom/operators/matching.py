@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,15 +207,37 @@ def kpis(items: DataFrame, docs: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def output_names(rows: DataFrame, order: str = "order_no") -> DataFrame:
-    """Add output_filename from order_no, title, code and extension; equal names get _2, _3 ... in order of ``order``."""
+    """Add output_filename from order_no, title, code and extension.
+
+    In order of ``order``, a name already given gets _2, _3 ... behind its base, the first that is still free. Where no
+    base ends like such a number, that is the row's number among its equals. Only bases that differ by such endings
+    alone can take each other's names: those families, each an agenda's few items with one order_no, are dealt with
+    together.
+    """
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("code", F.lit("")), F.concat(F.lit("材料"), F.col("order_no").cast("string")))
     ext = F.when(F.col("extension").startswith("."), F.col("extension")).otherwise(F.concat(F.lit("."), "extension"))
     base = F.concat(F.format_string("%03d", "order_no"), F.lit("_"), T.sanitize_filename_native(title))
-    named = rows.withColumns({"_base": base, "_ext": ext})
-    k = F.row_number().over(Window.partitionBy("_base", "_ext").orderBy(order))
-    return named.withColumn("_k", k).select(
-        *rows.columns, F.concat("_base", F.when(F.col("_k") > 1, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(F.lit("")), "_ext").alias("output_filename")
-    )
+    named = rows.withColumns({"_base": base, "_ext": ext}).withColumn("_family", F.regexp_replace("_base", r"(_\d+)+$", ""))
+    family = Window.partitionBy("_family", "_ext")
+    k = F.row_number().over(Window.partitionBy("_family", "_base", "_ext").orderBy(order))
+    mixed = F.min("_base").over(family) != F.max("_base").over(family)
+    judged = named.withColumns({"_k": k, "_mixed": mixed})
+    plain = judged.where("not _mixed").withColumn("_name", F.concat("_base", F.when(F.col("_k") > 1, F.concat(F.lit("_"), F.col("_k").cast("string"))).otherwise(F.lit("")), "_ext"))
+
+    def name(group: pd.DataFrame) -> pd.DataFrame:
+        used, names = set(), []
+        group = group.sort_values(order, kind="stable")
+        for stem, end in zip(group["_base"], group["_ext"], strict=True):
+            shown, n = stem + end, 2
+            while shown in used:
+                shown, n = f"{stem}_{n}{end}", n + 1
+            used.add(shown)
+            names.append(shown)
+        return group.assign(_name=names)
+
+    shared = judged.where("_mixed")
+    shared = shared.groupBy("_family", "_ext").applyInPandas(name, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in shared.schema)}, _name string")
+    return plain.unionByName(shared).select(*rows.columns, F.col("_name").alias("output_filename"))
 
 
 def report(matches: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:

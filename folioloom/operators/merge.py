@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalise_header, strip
 
-# Headers that mean the same; the first of each line is the unified one.
-ALIAS_LINES = """
-姓名 有效证件姓名 申请人姓名 客户姓名 人员姓名 用户姓名
-联系电话 联系电话号码 手机 手机号 手机号码 电话 电话号码
-出生日期 出生年月 生日 出生时间 出生日期年月
-身份证号 身份证号码 证件号 证件号码 有效证件号码
-地址 联系地址 家庭住址 居住地址 开户地址
-公司名称 单位名称 企业名称 机构名称 所属公司
-电子邮箱 邮箱 email e_mail
-"""
-GROUPS = [[w.replace("_", " ") for w in line.split()] for line in ALIAS_LINES.strip().splitlines()]
+# Headers that mean the same; the first of each group is the unified one.
+GROUPS = (
+    ("姓名", "有效证件姓名", "申请人姓名", "客户姓名", "人员姓名", "用户姓名"),
+    ("联系电话", "联系电话号码", "手机", "手机号", "手机号码", "电话", "电话号码"),
+    ("出生日期", "出生年月", "生日", "出生时间", "出生日期年月"),
+    ("身份证号", "身份证号码", "证件号", "证件号码", "有效证件号码"),
+    ("地址", "联系地址", "家庭住址", "居住地址", "开户地址"),
+    ("公司名称", "单位名称", "企业名称", "机构名称", "所属公司"),
+    ("电子邮箱", "邮箱", "email", "e mail"),
+)
 CANONICAL_FROM, MAP_FROM = 0.75, 0.6
 SOURCE, NUMBER = "来源文件", "序号"
 
@@ -118,16 +117,21 @@ def number_rows(rows: DataFrame, parts: str, order: list[str], name: str = "rn")
     return rows.withColumn("_local", local).join(offsets, parts).withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off")
 
 
-def clean_rows(df: DataFrame) -> DataFrame:
-    """Stripped cells; rows that repeat the header and rows without any value go; unnamed and number columns go."""
-    kept = [c for c in df.columns if c and not c.lower().startswith("unnamed") and c != NUMBER]
-    text = {c: strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in kept}
-    out = df.select(*(text[c].alias(c) for c in kept))
-    blank, echo = F.lit(True), F.lit(True)
-    for c in kept:
-        blank = blank & (F.col(f"`{c}`") == "")
-        echo = echo & (F.col(f"`{c}`") == c)
-    return out.where(~blank & ~echo)
+def clean_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """Stripped cells; a first row (by ``order``) that repeats the header goes, as do rows without any value.
+
+    Unnamed and number columns go too. ``order`` are columns of ``df`` that number its rows; they aren't data and stay
+    as they are. The first row is found by a minimum, so no task sees all rows; rows that tie for it are all first.
+    """
+    data = [c for c in df.columns if c not in order]
+    text = {c: strip(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in data}
+    first = df.agg(F.min(F.struct(*order)).alias("_first"))
+    echo, blank = F.struct(*order).eqNullSafe(F.col("_first")), F.lit(True)
+    for c in data:
+        echo = echo & (text[c] == c.strip())
+        blank = blank & (text[c] == "")
+    kept = [c for c in data if c and not c.lower().startswith("unnamed") and c != NUMBER]
+    return df.crossJoin(F.broadcast(first)).where(~blank & ~echo).select(*order, *(text[c].alias(c) for c in kept))  # first is one row
 
 
 def header_jaccard(headers: DataFrame) -> DataFrame:

@@ -89,19 +89,39 @@ def export_scope(results: DataFrame, scope: str, ids: list | None = None) -> Dat
 def apply_edits(values: DataFrame, edits: DataFrame, template: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(values, rejected). Latest valid edit of each (file, key) wins; a file with any bad edit keeps none of its edits.
 
-    ``edits``: file_id, key, new_value, seq. Bad: a key outside the template, or a value that doesn't fit its type.
+    ``edits``: file_id, key, new_value, seq. Bad: a key outside the template, or a value that doesn't fit its type. An
+    edit of a field that has no value row yet adds one; its other columns are null.
     """
     typed = edits.join(F.broadcast(template.select("key", "type")), "key", "left")
     bad = F.col("type").isNull() | ~edit_valid(F.col("new_value"), F.col("type"))
     judged = typed.withColumn("bad", bad).withColumn("file_bad", F.max("bad").over(Window.partitionBy("file_id")))
     last = Window.partitionBy("file_id", "key").orderBy(F.desc("seq"))
     good = judged.where("not file_bad").withColumn("k", F.row_number().over(last)).where("k = 1").select("file_id", "key", "new_value", F.lit(True).alias("edited"))
-    merged = values.join(good, ["file_id", "key"], "left")
+    merged = values.join(good, ["file_id", "key"], "full")
     edited = F.coalesce("edited", F.lit(False))
-    out = merged.withColumns({"raw_value": F.when(edited, F.col("new_value")).otherwise(F.col("raw_value")), "manually_edited": edited | F.col("manually_edited")})
+    out = merged.withColumns({"raw_value": F.when(edited, F.col("new_value")).otherwise(F.col("raw_value")), "manually_edited": edited | F.coalesce("manually_edited", F.lit(False))})
     return out.drop("new_value", "edited"), judged.where("bad").select("file_id", "key", "new_value")
 
 
+def recalculate_status(values: DataFrame, issues: DataFrame, template: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, issues) after edits: the issues of missing required fields are drawn up anew, and the status follows.
+
+    ``values``: file_id, key, raw_value; ``issues``: file_id, key, issue_type, message; ``template``: key, name,
+    required. A required field without a row, or whose value is null or empty, is missing. A file with a missing field
+    or a ``type_invalid`` issue is ``needs_review``, every other one that has a value or issue ``success``.
+    """
+    required = F.broadcast(template.where("required").select("key", "name"))  # a template is what a person wrote
+    files = values.select("file_id").union(issues.select("file_id")).distinct()
+    filled = values.where("raw_value is not null and raw_value <> ''").select("file_id", "key")
+    missing = files.crossJoin(required).join(filled, ["file_id", "key"], "left_anti")
+    message = F.concat(F.lit("必填字段 ["), "name", F.lit("] 未找到值"))
+    anew = missing.select("file_id", "key", F.lit("required_missing").alias("issue_type"), message.alias("message"))
+    left = issues.where("issue_type <> 'required_missing'").select("file_id", "key", "issue_type", "message").union(anew)
+    bad = left.where("issue_type in ('required_missing', 'type_invalid')").select("file_id").distinct().withColumn("bad", F.lit(True))
+    status = F.when(F.col("bad"), "needs_review").otherwise("success")
+    return files.join(bad, "file_id", "left").select("file_id", status.alias("status")), left
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Upsert: of each key the last row in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -8,31 +8,30 @@ from pyspark.sql import functions as F
 from ..functions.text import slug, squeeze, strip
 
 # Header texts by the role they stand for.
-ROLES = {  # an underscore stands for a space
-    "name": "字段名称 字段名 名称 field_name field name column_name 列名",
-    "description": "字段说明 说明 描述 备注 description desc field_description 备注说明",
-    "type": "数据类型 类型 字段类型 data_type type dtype field_type",
-    "required": "是否必填 必填 required is_required mandatory 必须",
-    "example": "示例值 示例 example sample 样例 例子 example_value",
-    "prompt_hint": "提取提示 提示 提取说明 同义词 extraction_hint hint prompt 备注提示",
+ROLES = {
+    "name": ("字段名称", "字段名", "名称", "field name", "field", "name", "column name", "列名"),
+    "description": ("字段说明", "说明", "描述", "备注", "description", "desc", "field description", "备注说明"),
+    "type": ("数据类型", "类型", "字段类型", "data type", "type", "dtype", "field type"),
+    "required": ("是否必填", "必填", "required", "is required", "mandatory", "必须"),
+    "example": ("示例值", "示例", "example", "sample", "样例", "例子", "example value"),
+    "prompt_hint": ("提取提示", "提示", "提取说明", "同义词", "extraction hint", "hint", "prompt", "备注提示"),
 }
 # Names of the field types.
 TYPE_NAMES = {
-    "text": "text 文本 字符串 string str",
-    "long_text": "long_text 长文本 多行文本 textarea",
-    "integer": "integer 整数 int number",
-    "decimal": "decimal 小数 float numeric 数字",
-    "date": "date 日期 datetime 时间 日期时间",
-    "boolean": "boolean 布尔值 bool 是否 yes/no",
-    "list": "list 列表 array 多值 multi",
+    "text": ("text", "文本", "字符串", "string", "str"),
+    "long_text": ("long_text", "长文本", "多行文本", "textarea"),
+    "integer": ("integer", "整数", "int", "number"),
+    "decimal": ("decimal", "小数", "float", "numeric", "数字"),
+    "date": ("date", "日期", "datetime", "时间", "日期时间"),
+    "boolean": ("boolean", "布尔值", "bool", "是否", "yes/no"),
+    "list": ("list", "列表", "array", "多值", "multi"),
 }
 # Texts that mean a field is required.
 REQUIRED = ("是", "yes", "true", "1", "y", "必填", "required", "√", "✓")
 
 
-def _lookup(table: dict[str, str], keep: tuple[str, ...] = ()) -> Column:
-    pairs = [(w if w in keep else w.replace("_", " "), role) for role, words in table.items() for w in words.split()]
-    return F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+def _lookup(table: dict[str, tuple[str, ...]]) -> Column:
+    return F.create_map(*(F.lit(x) for meaning, words in table.items() for w in words for x in (w, meaning)))
 
 
 def normalise(text: Column) -> Column:
@@ -40,7 +39,7 @@ def normalise(text: Column) -> Column:
 
 
 def parse_type(raw: Column) -> Column:
-    return F.coalesce(F.try_element_at(_lookup(TYPE_NAMES, ("long_text",)), normalise(raw)), F.lit("text"))
+    return F.coalesce(F.try_element_at(_lookup(TYPE_NAMES), normalise(raw)), F.lit("text"))
 
 
 def parse_required(raw: Column) -> Column:

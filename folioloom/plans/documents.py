@@ -156,20 +156,16 @@ def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "strip_markdown",
-    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace('# Title' || chr(10) || '**' || substr(text, 1, 40) || '** and [link](http://x)', '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{1,6}\s*', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'))) AS plain_md5
-FROM documents WHERE regexp_matches(substr(text, 1, 40), '^[\p{L} .,\n]*$') AND NOT regexp_matches(substr(text, 1, 40), '\n')""",
+    r"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\*\*(.+?)\*\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '\*(.+?)\*', '\1', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '_(.+?)_', '\1', 'g'), '`(.+?)`', '\1', 'g'), '~~(.+?)~~', '\1', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^#{1,6}\s+', '', 'g'), '(?m)^[-–—]{3,}$', '', 'g') AS t FROM c),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[*+-]\s+', '', 'g'), '(?m)^\d+[.)]\s+', '', 'g') AS t FROM d),
+f AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM e)
+SELECT doc_id, md5(trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288))) AS plain_md5 FROM f""",
 )
 def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.left("text", F.lit(40))
-    d = _docs(spark, sf_dir).where(head.rlike(r"^[\p{L} .,\n]*$") & ~head.rlike("\n"))
-    made = F.concat(F.lit("# Title\n**"), head, F.lit("** and [link](http://x)"))
-    return d.select("doc_id", F.md5(T.strip_markdown(made)).alias("plain_md5"))
-
-
-@query("strip_markdown_whole")
-def strip_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's removals over every whole text; Python's white space and lazy matches have no SQL form."""
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.strip_md(F.col("text"))).alias("plain_md5"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", F.md5(T.strip_markdown(F.col("text"))).alias("plain_md5"))
 
 
 @query(
@@ -183,16 +179,11 @@ def intent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_text_choice",
-    """SELECT doc_id, CASE WHEN length(trim(substr(text, 1, doc_id % 60), ' ')) < 50 AND length(trim(substr(text, 1, doc_id % 90), ' ')) > length(trim(substr(text, 1, doc_id % 60), ' ')) * 1.2::DOUBLE
-THEN substr(text, 1, doc_id % 90) ELSE substr(text, 1, doc_id % 60) END AS chosen FROM documents""",
+    r"""WITH d AS (SELECT d.doc_id, coalesce(d.text, '') AS t, coalesce(o.text, '') AS o FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1),
+n AS (SELECT *, length(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS nt, length(regexp_replace(o, '^\s+|\s+$', '', 'g')) AS no FROM d)
+SELECT doc_id, CASE WHEN nt < 50 AND no > nt * 1.2::DOUBLE THEN o ELSE t END AS chosen FROM n""",
 )
 def page_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda n: F.left("text", (F.col("doc_id") % n).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", R.choose_text(cut(60), cut(90)).alias("chosen"))
-
-
-@query("page_text_choice_whole")
-def page_text_choice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as both readings: a document's own is the native one, that of the next id the OCR one."""
     d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ocr"))

@@ -104,20 +104,43 @@ def export_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Values after edits: a fitting, an unfitting and an empty balance, and a segment where no value row was."""
+    c = table(spark, sf_dir, "customer")
+    values = c.select(F.col("c_custkey").alias("file_id"), F.expr("stack(2, 'balance', cast(cast(round(c_acctbal) as bigint) as string), 'name', c_name) as (key, raw_value)"), F.lit(False).alias("manually_edited"))
+    m = F.col("c_custkey") % 5
+    key = F.when(m == 3, "segment").otherwise("balance")
+    edits = c.where(m < 4).select(F.col("c_custkey").alias("file_id"), key.alias("key"), F.when(m == 0, "12,5").when(m == 1, "abc").when(m == 3, F.col("c_mktsegment")).otherwise("").alias("new_value"), F.lit(1).alias("seq"))
+    template = spark.createDataFrame([("balance", "Balance", "decimal", True), ("name", "Name", "text", True), ("segment", "Segment", "text", False)], "key string, name string, type string, required boolean")
+    return R.apply_edits(values, edits, template)[0], template
+
+
 @query(
     "patch_recalc",
-    """WITH e AS (SELECT c_custkey AS file_id, CASE c_custkey % 4 WHEN 0 THEN '12,5' WHEN 1 THEN 'abc' WHEN 2 THEN '' END AS v, c_custkey % 4 AS m FROM customer)
+    """WITH e AS (SELECT c_custkey AS file_id, CASE c_custkey % 5 WHEN 0 THEN '12,5' WHEN 1 THEN 'abc' WHEN 2 THEN '' END AS v, c_custkey % 5 AS m FROM customer)
 SELECT file_id, k.key, CASE WHEN k.key = 'balance' AND m IN (0, 2) THEN v WHEN k.key = 'name' THEN c_name ELSE round(c_acctbal)::BIGINT::VARCHAR END AS raw_value,
        k.key = 'balance' AND m IN (0, 2) AS manually_edited
-FROM e JOIN customer ON c_custkey = file_id CROSS JOIN (VALUES ('balance'), ('name')) k(key)""",
+FROM e JOIN customer ON c_custkey = file_id CROSS JOIN (VALUES ('balance'), ('name')) k(key)
+UNION ALL SELECT c_custkey, 'segment', c_mktsegment, true FROM customer WHERE c_custkey % 5 = 3""",
 )
 def patch_recalc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    values = c.select(F.col("c_custkey").alias("file_id"), F.expr("stack(2, 'balance', cast(cast(round(c_acctbal) as bigint) as string), 'name', c_name) as (key, raw_value)"), F.lit(False).alias("manually_edited"))
-    m = F.col("c_custkey") % 4
-    edits = c.where(m < 3).select(F.col("c_custkey").alias("file_id"), F.lit("balance").alias("key"), F.when(m == 0, "12,5").when(m == 1, "abc").otherwise("").alias("new_value"), F.lit(1).alias("seq"))
-    template = spark.createDataFrame([("balance", "decimal"), ("name", "text")], "key string, type string")
-    return R.apply_edits(values, edits, template)[0]
+    return _edited(spark, sf_dir)[0].select("file_id", "key", "raw_value", "manually_edited")
+
+
+@query(
+    "status_after_edit",
+    """SELECT c_custkey AS file_id, CASE WHEN c_custkey % 5 = 2 OR c_custkey % 7 = 0 THEN 'needs_review' ELSE 'success' END AS status,
+       (c_custkey % 5 = 2)::BIGINT + (c_custkey % 7 = 0)::BIGINT + (c_custkey % 3 = 0)::BIGINT AS n_issues FROM customer""",
+)
+def status_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before the edits every third file missed its balance (or so it was noted), every seventh had a type issue, and some a warning."""
+    values, template = _edited(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"))
+    noted = [(3, "required_missing"), (7, "type_invalid"), (3, "low_confidence")]
+    issues = [c.where(F.col("file_id") % n == 0).select("file_id", F.lit("balance").alias("key"), F.lit(kind).alias("issue_type"), F.lit("").alias("message")) for n, kind in noted]
+    files, left = R.recalculate_status(values, issues[0].union(issues[1]).union(issues[2]), template)
+    counts = left.groupBy("file_id").agg(F.count("*").alias("n_issues"))
+    return files.join(counts, "file_id", "left").select("file_id", "status", F.coalesce("n_issues", F.lit(0)).cast("long").alias("n_issues"))
 
 
 @query(

@@ -98,8 +98,10 @@ def test_merge_against_pandas(spark):
     pd.testing.assert_frame_equal(got, pd.concat([a, b], ignore_index=True).fillna(""))
     out = merge.merge_tables([("f1", spark.createDataFrame([("n", "1")], ["姓名", "手机"])), ("f2", spark.createDataFrame([("m", "2")], ["客户姓名", "电话"]))])
     assert sorted(map(tuple, out.collect())) == [("m", "2", "f2"), ("n", "1", "f1")]
-    rows = spark.createDataFrame([(" a ", "1", "x"), ("h", "序号", "Unnamed: 2"), ("", "3", "y")], ["h", "序号", "Unnamed: 2"])
-    assert [tuple(r) for r in merge.clean_rows(rows).collect()] == [("a",)]
+    rows = spark.createDataFrame([(1, "h", "序号", "Unnamed: 2"), (2, " a ", "1", "x"), (3, "h", "序号", "Unnamed: 2"), (4, "", " ", None)], ["n", "h", "序号", "Unnamed: 2"])
+    # only a first row that repeats the header goes
+    assert [tuple(r) for r in merge.clean_rows(rows, ["n"]).orderBy("n").collect()] == [(2, "a"), (3, "h")]
+    assert [tuple(r) for r in merge.clean_rows(rows.where("n > 1"), ["n"]).orderBy("n").collect()] == [(2, "a"), (3, "h")]
 
 
 def test_markdown_and_packing(spark):
@@ -108,6 +110,8 @@ def test_markdown_and_packing(spark):
     assert got == [(0, 0, ["a", "b"]), (0, 1, ["1", "2"]), (1, 0, ["lone"]), (1, 1, ["k"]), (1, 2, ["v"])]
     parts = column(spark, ["p" * 500 + "\n" + "q" * 500 + "\nr", None, ""], console.pack_paragraphs)
     assert [len(p) for p in parts[0]] == [500, 502] and parts[1] is None and parts[2] == [""]
+    # line breaks don't count
+    assert column(spark, ["p" * 450 + "\n" + "q" * 450 + "\nr", " \n "], console.pack_paragraphs) == [["p" * 450 + "\n" + "q" * 450, "r"], [" \n "]]
 
 
 def test_backend_failures_are_rows(spark):
@@ -173,11 +177,11 @@ def test_queries_over_whole_texts(spark, tmp_path):
     bits = ["**bold**", "__u__", "*i*", "_x_", "`c`", "~~s~~", "# H ", "#######", "---", "—––", "- a", "* b", "+\xa0c", "1. d", "٣) e", "\n", "\n", "\n\n\n", "\r\n", "\x85", "\u2028", "\x1c", "\x07", " ", "\u3000", "plain words", "a_b", "$1", "\\1", "*", "_", "é😀"]
     texts = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for k in range(400)] + [(400, None), (401, "x " * 40 + "**end**\n- last")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["plain_md5"] for r in D.QUERIES["strip_markdown_whole"][0](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["plain_md5"] for r in D.QUERIES["strip_markdown"][0](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(brute_strip_md(x).encode()).hexdigest() for k, x in texts}
     by_id = {k: x or "" for k, x in texts}
     want = {}
     for k, x in by_id.items():
         n, other = len(x.strip()), by_id.get(k + 1, "")
         want[k] = other if n < 50 and len(other.strip()) > n * 1.2 else x
-    assert {r["doc_id"]: r["chosen"] for r in D.QUERIES["page_text_choice_whole"][0](spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["chosen"] for r in D.QUERIES["page_text_choice"][0](spark, str(tmp_path)).collect()} == want
