@@ -190,7 +190,9 @@ def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = occurrences.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "h2")).alias("at"), F.count("*").alias("n"))
     places = settle(places.join(candidates, "h", "left").where("n > 1 or compared"), "line-places")
     at = places.where("compared").select("h", "at.doc_id", "at.line_no", "at.h2")
-    found = settle(_with(_lines(rows), at, ["h", "h2", "doc_id", "line_no"], at.count()).select("h", "line").dropDuplicates(["h"]), "line-candidates")
+    number = at.count()
+    fetched = _lines(_with(rows, at.select("doc_id").distinct(), ["doc_id"], number) if number <= SMALL else rows)  # only documents with a candidate
+    found = settle(_with(fetched, at, ["h", "h2", "doc_id", "line_no"], number).select("h", "line").dropDuplicates(["h"]), "line-candidates")
     parts = connected_components(_links(pairs, found), "line-components")
     # then all members of a band that aren't in one component yet meet each other
     more = connected_components(_rest(members.select("key", "h"), parts, found), "line-components")
