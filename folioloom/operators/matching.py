@@ -145,7 +145,7 @@ def assign(items: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
         "item_id", F.when(taken, F.col("file_id")).alias("selected_file_id"), "score", "method", "occupied", F.when(taken, "matched").otherwise("needs_review").alias("status")
     )
     return items.select("item_id", "order_no").join(found, "item_id", "left").select(
-        "item_id", "order_no", "selected_file_id", F.coalesce("score", F.lit(0.0)).alias("score"),
+        "item_id", "order_no", "selected_file_id", F.bround(F.coalesce("score", F.lit(0.0)), 2).alias("score"),
         F.coalesce("status", F.lit("unmatched")).alias("status"), F.coalesce("method", F.lit("none")).alias("match_method"),
         F.when(F.col("status").isNull(), NO_CANDIDATE).when(F.col("occupied"), OCCUPIED).otherwise(reason(F.col("method"), F.col("score"))).alias("match_reason"),
     )

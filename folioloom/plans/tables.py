@@ -56,11 +56,11 @@ def agenda_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.detect_mapping(heads, ("sheet",))
 
 
-@query("agenda_headerless", "SELECT n_regionkey AS sheet, n_regionkey = 4 AS headerless FROM nation WHERE n_nationkey < 3 OR n_regionkey < 4 GROUP BY 1")
+@query("agenda_headerless", "SELECT DISTINCT n_regionkey AS sheet, n_regionkey = 4 AS headerless FROM nation")
 def agenda_headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _agenda_cells(spark, sf_dir)
     first = cells.groupBy("sheet").agg(F.min("row").alias("least"))
-    return A.headerless(cells.join(first, "sheet").withColumn("row", F.when(F.col("sheet") == 4, F.col("row") - F.col("least") + 1).otherwise(F.col("row")))).where("sheet < 4")
+    return A.headerless(cells.join(first, "sheet").withColumn("row", F.when(F.col("sheet") == 4, F.col("row") - F.col("least") + 1).otherwise(F.col("row"))))
 
 
 @query("merge_header_row", "SELECT r_regionkey AS sheet, CASE WHEN r_regionkey % 2 = 0 THEN 2 ELSE 1 END AS header_row FROM region")

@@ -103,6 +103,10 @@ def test_output_names_and_zip(spark):
     rows = spark.createDataFrame([(1, odd, None, ".pdf", 1), (1, odd, None, "pdf", 2), (2, None, None, ".docx", 3)], "order_no int, title string, code string, extension string, k int")
     got = [r["output_filename"] for r in M.output_names(rows, "k").orderBy("k").collect()]
     assert got == ["001_标题 ________.pdf", "001_标题 _________2.pdf", "002_材料2.docx"]
+    # a name that a numbered one has taken is passed over, in the order of the rows
+    taken = spark.createDataFrame([(1, t, None, "pdf", k) for k, t in enumerate(["a", "a", "a_2", "a", "b_2", "b", "b", "c_7"])], "order_no int, title string, code string, extension string, k int")
+    got = [r["output_filename"] for r in M.output_names(taken, "k").orderBy("k").collect()]
+    assert got == ["001_a.pdf", "001_a_2.pdf", "001_a_2_2.pdf", "001_a_3.pdf", "001_b_2.pdf", "001_b.pdf", "001_b_3.pdf", "001_c_7.pdf"]
     report = ooxml.xlsx_bytes({"清单": [["顺序号", "原文件名"], [1, "原文件.pdf"]]})
     manifest = spark.createDataFrame([("f", "001_关于预算的报告.pdf")], "file_id string, output_filename string")
     z = zipfile.ZipFile(io.BytesIO(writers.renamed_zip(manifest, {"f": b"abc"}, report)))

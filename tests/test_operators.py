@@ -89,6 +89,15 @@ def test_results(spark):
     edits = spark.createDataFrame([(1, "n", "7", 1), (1, "n", "8", 2), (2, "n", "9", 1), (2, "zz", "1", 2)], "file_id int, key string, new_value string, seq int")
     merged, bad = results.apply_edits(values, edits, spark.createDataFrame([("n", "integer")], "key string, type string"))
     assert {r["file_id"]: r["raw_value"] for r in merged.collect()} == {1: "8", 2: "6"} and bad.count() == 1
+    # an edit of a field without a value row adds one; the status follows
+    template = spark.createDataFrame([("n", "N", "integer", True), ("t", "T", "text", True)], "key string, name string, type string, required boolean")
+    more = spark.createDataFrame([(1, "t", "new", 1), (2, "n", "", 1)], "file_id int, key string, new_value string, seq int")
+    merged, bad = results.apply_edits(values, more, template)
+    assert sorted((r["file_id"], r["key"], r["raw_value"], r["manually_edited"]) for r in merged.collect()) == [(1, "n", "5", False), (1, "t", "new", True), (2, "n", "", True)]
+    noted = spark.createDataFrame([(1, "t", "required_missing", "old"), (1, "n", "low_confidence", "x")], "file_id int, key string, issue_type string, message string")
+    files, left = results.recalculate_status(merged, noted, template)
+    assert {r["file_id"]: r["status"] for r in files.collect()} == {1: "success", 2: "needs_review"}
+    assert sorted((r["file_id"], r["key"], r["issue_type"], r["message"]) for r in left.collect()) == [(1, "n", "low_confidence", "x"), (2, "n", "required_missing", "必填字段 [N] 未找到值"), (2, "t", "required_missing", "必填字段 [T] 未找到值")]
 
 
 def test_merge_against_pandas(spark):
