@@ -119,10 +119,10 @@ def _may_be_alike(a: Column, b: Column) -> Column:
     return close & (_differ(a, b) * (1 + THRESHOLD) <= (a["size"] + b["size"]) * (1 - THRESHOLD) + 1e-9)
 
 
-def _units(dealt: DataFrame, sketches: DataFrame) -> DataFrame:
-    """A row a pair of blocks, or block with itself: (key, i, j, us), us being the lines of both."""
+def _units(dealt: DataFrame, sketches: DataFrame, alone: bool) -> DataFrame:
+    """A row a block with itself, or, unless ``alone``, a pair of blocks: (key, i, j, us), us being the lines of both."""
     members = dealt.join(sketches, "h").withColumn("own", F.expr("pmod(xxhash64(h), blocks)"))
-    both = F.expr("transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
+    both = F.expr("array(struct(own as i, own as j))" if alone else "transform(sequence(0L, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
     line = F.struct("own", "h", "root", "size", "odd", "bands").alias("u")
     units = members.select("key", F.explode(both).alias("p"), line).groupBy("key", "p").agg(F.collect_list("u").alias("us"))
     return units.where(F.size(F.array_distinct("us.root")) > 1).select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "us")
@@ -154,8 +154,8 @@ def _rest(members: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
     Only bands whose members lie in several components are left to do. Such a band is dealt into blocks of about BLOCK
     lines, and every pair of blocks, or block with itself, is one row that compares the sketches of its lines in place.
     The pairs that a sketch can't rule out are verified like all others. In bands of several blocks each line first
-    meets the one whose sketch is nearest in each block, so that these pairs grow with the members; only lines whose
-    components that doesn't join then meet all others.
+    meets the one of its own block whose sketch is nearest, so that this grows with the members; lines whose components
+    that doesn't join then meet all others.
     """
     rooted = members.join(parts.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     rooted = settle(rooted.select("key", "h", "root"), "line-rooted")
@@ -163,11 +163,11 @@ def _rest(members: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
     left = settle(left.select("key", F.expr(f"ceil(n / {BLOCK})").alias("blocks")), "line-left")
     dealt = settle(rooted.join(left, "key"), "line-dealt")
     sketches = settle(_sketched(found.join(dealt.select("h").distinct(), "h", "left_semi"), dealt), "line-sketches")
-    first = settle(_near(_units(dealt.where("blocks > 1"), sketches), True), "line-nearest")
+    first = settle(_near(_units(dealt.where("blocks > 1"), sketches, True), True), "line-nearest")
     joined = settle(_links(first, found).select("ra", "rb"), "line-joined")
     tops = connected_components(joined.toDF("a", "b"), "line-tops").withColumnRenamed("root", "top")
     merged = dealt.join(tops.withColumnRenamed("node", "root"), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    apart = settle(_near(_units(merged, sketches), False), "line-apart")
+    apart = settle(_near(_units(merged, sketches, False), False), "line-apart")
     return joined.union(_links(apart, found).select("ra", "rb")).toDF("a", "b")
 
 
