@@ -93,7 +93,7 @@ SELECT doc_id, CASE WHEN length(sn) <= 20 THEN sn WHEN contains(t, q) THEN sn WH
 def snippet_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.substring("text", 11, 60)
     sn = F.when(F.col("doc_id") % 2 == 0, part).otherwise(F.concat(F.lit("zzzz"), part, F.lit("zzzz")))
-    return _docs(spark, sf_dir).select("doc_id", T.verify_snippet(sn, F.col("text")).alias("verified"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", T.verify_snippet(sn, F.col("text")).alias("verified"))
 
 
 @query(
@@ -103,13 +103,13 @@ b AS (SELECT doc_id, regexp_replace(t, '([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)', '\
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '\n$', ''), '[ \t\r]+(\n|$)', '\1', 'g')) AS text_md5 FROM b""",
 )
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.clean_text_native(F.col("text"))).alias("text_md5"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", F.md5(T.clean_text_native(F.col("text"))).alias("text_md5"))
 
 
 @query("clean_text_unicode")
 def clean_text_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cleaning steps, with NFC, CJK rejoining and OCR fixes: the last two have no SQL form."""
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.clean_text(F.col("text"), F.col("doc_id") % 2 == 0)).alias("text_md5"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", F.md5(T.clean_text(F.col("text"), F.col("doc_id") % 2 == 0)).alias("text_md5"))
 
 
 @query(
