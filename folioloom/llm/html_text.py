@@ -194,14 +194,15 @@ def deletions(article: bool, mine: list[int], own: list[bool], other: list[int],
     """(shared lines, deleted ones, deleted ones among the page's own), the last as places in its own lines.
 
     ``own`` tells which lines structure takes for the page's own: those of its article or, without one, those outside
-    menus and the like. A shared line is the site's, and deleted, with one exception: where a page has an article and
-    the other page has the line among its own too, both may well tell the same.
+    menus and the like. A shared line is the site's, and deleted, with one exception: a line of an article stays, since
+    pages may well tell the same, unless both the page and the other one have it in a menu, advert or the like.
     """
     shared = shared_lines(mine, other)
+    around = {line for line, x in zip(mine, own, strict=True) if not x}
     place = [0]
     for x in own:
         place.append(place[-1] + x)
-    gone = [(i, own[i]) for i, j in shared if not (article and own[i] and others[j])]
+    gone = [(i, own[i]) for i, j in shared if not (article and own[i] and (others[j] or mine[i] not in around))]
     return len(shared), len(gone), [place[i] for i, x in gone if x]
 
 
@@ -303,8 +304,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Each page becomes lines of text, one a block. It is paired with the page of its host whose path is nearest, the two
     line sequences are aligned by their longest common subsequence (``n_shared`` is its length), and shared lines are
     deleted (``n_deleted``), as ``deletions`` says: all of them on a page without an article or main element; on one
-    that has it, all but those that the other page has in its article as well, since pages may well tell the same: in
-    the test tables paragraphs of an article occur again on its host. What is left outside the article, or in a menu, form,
+    that has it, all but those of the article, unless both pages have them in a menu or advert, since pages may well
+    tell the same: in the test tables paragraphs of an article occur again on its host. What is left outside the article, or in a menu, form,
     advert or the like, and differs from page to page, goes by the structure of the page.
 
     Null html counts as empty and gives an empty text. A null URL has an empty host like all URLs without ``://``.
