@@ -270,8 +270,9 @@ def classes(signed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     groups = settle(connected_components(edges, "candidates").withColumnRenamed("root", "grp"), "groups")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     members = groups.join(sizes, "grp").join(nodes, "node").select("node", "grp", "blocks", "at", "n_copies")
-    sigs = signed.where("node is not null").select(at, "node", "sig")
-    texts = _marked(docs, id_col, text_col).select(at, "text")
+    # repeated rows share "at": one of each side, or n copies would meet n times n
+    sigs = signed.where("node is not null").select(at, "node", "sig").dropDuplicates(["at"])
+    texts = _marked(docs, id_col, text_col).select(at, "text").dropDuplicates(["at"])
     sets = members.join(sigs, ["at", "node"]).join(texts, "at").mapInArrow(_reshingle, _SETS_SCHEMA)
     return _finish(rows, nodes, sets)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -114,6 +115,17 @@ def test_ngram_join(spark, monkeypatch, block):
     assert got == brute_join(texts)
 
 
+def test_ngram_join_many_repeats(spark):
+    """Repeated rows and null ids with one text cost no square: 5,000 copies of a text beside a near copy."""
+    text = prose(300)
+    near = text + " tail"
+    rows = [(1, text)] * 2500 + [(None, text)] * 2500 + [(2, near)]
+    began = time.monotonic()
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs(spark, rows)).collect())
+    assert got == {(1, 1, 5000): 2500, (None, 1, 5000): 2500, (2, 1, 5000): 1}
+    assert time.monotonic() - began < 60
+
+
 def test_ngram_join_edges(spark):
     rows = ngram_join.ngram_join(edge_docs(spark)).collect()
     assert len(rows) == 9 and {(r["class_id"], r["n_links"]) for r in rows if r["doc_id"] == 4} == {(4, 3)}
