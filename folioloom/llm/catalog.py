@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, token_count, url_filter
+from . import annulus, exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, token_count, url_filter
 from . import toxicity as toxic
 
 
@@ -61,8 +61,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_documents(spark, sf_dir))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op4_html_text, op5_toxicity, op6_spotsigs, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join)}
+    found = (
+        op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op4_html_text, op5_toxicity, op6_spotsigs, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join,
+        op12_centroid_clusters,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP2_SQL = r"""
@@ -95,5 +103,33 @@ FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+OP12_HEAD = r"""
+WITH k AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT row_number() OVER () AS r, vec_id, q FROM k),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS c, q FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), q) <= 16)"""
+
+#: One round: vectors to nearest centroids, then the floors of the means; {i} is the round and {n} the next.
+OP12_ROUND = r""",
+a{i} AS (
+  SELECT v.r, arg_min(c.c, (list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.c)) AS c,
+         min(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+  FROM v, c{i} c GROUP BY v.r),
+s{i} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*)::BIGINT AS n
+  FROM (SELECT a.c, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS i FROM a{i} a JOIN v USING (r)) GROUP BY c, i),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS q FROM s{i} GROUP BY c),
+c{n} AS (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m USING (c))"""
+
+OP12_SQL = OP12_HEAD + "".join(OP12_ROUND.format(i=i, n=i + 1) for i in range(4)) + r"""
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM v JOIN a3 a USING (r) JOIN c3 ON c3.c = a.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_ngram_join": OP10_SQL, "op12_centroid_clusters": OP12_SQL}
