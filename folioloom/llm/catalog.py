@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annulus, exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, token_count, url_filter
+from . import annulus, exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, token_count, turn_repair, url_filter
 from . import toxicity as toxic
 
 
@@ -65,10 +65,14 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annulus.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op4_html_text, op5_toxicity, op6_spotsigs, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join,
-        op12_centroid_clusters,
+        op12_centroid_clusters, op13_turn_repair,
     )
     return {f.__name__: f for f in found}
 
@@ -131,5 +135,73 @@ FROM v JOIN a3 a USING (r) JOIN c3 ON c3.c = a.c
 """
 
 
+def _step(cost: str, edit: str, *states: str) -> str:
+    """The least of ``states`` with one more edit; a state is nine digits of cost, then the audit."""
+    return f"list_min(list_transform([{', '.join(states)}], lambda x: lpad((left(x, 9)::INT + {cost})::VARCHAR, 9, '0') || x[10:] || '{edit}'))"
+
+
+def _inserted(z: str, s: str, u: str, a: str) -> str:
+    """States as (z: nothing yet, s, u, a), u and a also reached by inserts."""
+    u1 = f"least({u}, {_step('3', 'I', z, s, a)})"
+    a1 = f"least({a}, {_step('3', 'I', u1)})"
+    return f"[{z}, {s}, least({u1}, {_step('3', 'I', a1)}), {a1}]"
+
+
+_NONE = "NULL::VARCHAR"
+_KEEP = "CASE WHEN NOT must_go AND i = '{}' THEN {} END"
+_GIVE = "CASE WHEN NOT must_go THEN {} END"
+
+OP13_SQL = r"""
+WITH RECURSIVE r0 AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k
+  FROM conversations),
+r1 AS (
+  SELECT * EXCLUDE k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(k)), lambda j: ('0x' || hex(k)[2 * j + 1:2 * j + 2])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS f
+  FROM r0),
+d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM r1, range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+o AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER w AS n,
+         regexp_replace(text, '[ 	-
+]+$', '') AS bare, lag(left(role, 1)) OVER w AS before
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen FROM o),
+q AS (
+  SELECT *, bare = '' AS is_blank, bare <> '' AND seen AS is_copy, bare <> '' AND NOT seen AND right(bare, 1) NOT IN ('.', '!', '?') AS is_cut,
+         bare = '' OR seen AS must_go, CASE WHEN bare <> '' AND NOT seen AND right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS t,
+         before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au') AS is_illegal
+  FROM o1),
+p AS (
+  SELECT conv_id, 0::BIGINT AS n, """ + _inserted("'000000000'", _NONE, _NONE, _NONE) + r""" AS v FROM (SELECT DISTINCT conv_id FROM q)
+  UNION ALL
+  SELECT conv_id, n, """ + _inserted("m[1]", "m[2]", "m[3]", "m[4]") + r""" AS v FROM (
+    SELECT q.conv_id, q.n, [
+      """ + _step("4", "D", "v[1]") + r""",
+      least(""" + _step("4", "D", "v[2]") + ", " + _KEEP.format("s", _step("t", "K", "v[1]")) + r"""),
+      least(""" + _step("4", "D", "v[3]") + ", " + _KEEP.format("u", _step("t", "K", "v[1]", "v[2]", "v[4]")) + ", " + _GIVE.format(_step("3 + t", "R", "v[1]", "v[2]", "v[4]")) + r"""),
+      least(""" + _step("4", "D", "v[4]") + ", " + _KEEP.format("a", _step("t", "K", "v[3]")) + ", " + _GIVE.format(_step("3 + t", "R", "v[3]")) + r""")] AS m
+    FROM p JOIN q ON q.conv_id IS NOT DISTINCT FROM p.conv_id AND q.n = p.n + 1)),
+e AS (SELECT conv_id, least(v[1], v[4]) AS best FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+x AS (
+  SELECT conv_id, best[10:] AS audit, len(replace(best[10:], 'D', '')) % 2 AS odd, unnest(range(1, len(best) - 8)) AS j FROM e),
+y AS (
+  SELECT conv_id, j, audit[j] AS edit, len(replace(audit[1:j], 'I', '')) AS n, len(replace(audit[1:j], 'D', '')) - odd AS place FROM x WHERE audit[j] <> 'D'),
+z AS (
+  SELECT y.conv_id, string_agg(CASE WHEN edit = 'K' THEN q.role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE q.text END, chr(10) ORDER BY j) AS repaired
+  FROM y LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM y.conv_id AND q.n = y.n AND edit <> 'I' GROUP BY y.conv_id),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_copy) AS duplicate,
+         count(*) FILTER (is_cut) AS truncated, count(*) FILTER (is_illegal) AS illegal
+  FROM q GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(best[10:], '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_ngram_join": OP10_SQL, "op12_centroid_clusters": OP12_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_ngram_join": OP10_SQL, "op12_centroid_clusters": OP12_SQL, "op13_turn_repair": OP13_SQL}
