@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annulus, exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, token_count, turn_repair, url_filter
+from . import annulus, exact_dedup, html_text, line_dedup, ngram_join, packing, rank_bpe, spotsigs, suffix_dedup, token_count, turn_repair, url_filter
 from . import toxicity as toxic
 
 
@@ -61,6 +61,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_documents(spark, sf_dir))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_documents(spark, sf_dir)).drop("spans", "kept")
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annulus.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("centroid")
 
@@ -72,7 +76,7 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_line_dedup, op2_exact_dedup, op3_rank_bpe, op4_html_text, op5_toxicity, op6_spotsigs, op7_token_count, op8_url_filter, op9_packing, op10_ngram_join,
-        op12_centroid_clusters, op13_turn_repair,
+        op11_suffix_dedup, op12_centroid_clusters, op13_turn_repair,
     )
     return {f.__name__: f for f in found}
 
@@ -107,6 +111,27 @@ FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n, sha256(coalesce(text, '')) AS k FROM documents),
+u AS (SELECT k, any_value(h) AS h, any_value(n) AS n, min(doc_id) AS doc_id FROM d GROUP BY k),
+w AS (SELECT k, doc_id, i, hash(h[2 * i + 1:2 * i + 200]) AS x, md5_number_lower(h[2 * i + 1:2 * i + 200]) AS y FROM u, range(n - 99) t(i)),
+r AS (SELECT k, i FROM w QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) > 1),
+s AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM r),
+g AS (SELECT k, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS span FROM s),
+b AS (SELECT k, span, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY k, span),
+c AS (SELECT k, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM b GROUP BY k),
+t AS (
+  SELECT u.k, u.doc_id, u.h, u.n, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+         array_to_string(list_transform(list_zip(list_prepend(0, coalesce(z, [])), list_append(coalesce(a, []), u.n)), lambda p: h[2 * p[1] + 1:2 * p[2]]), '') AS kept
+  FROM u LEFT JOIN c USING (k)),
+o AS (
+  SELECT d.doc_id, d.n, CASE WHEN d.doc_id = t.doc_id OR d.n < 100 THEN t.n_removed ELSE d.n END AS n_removed,
+         CASE WHEN d.doc_id = t.doc_id OR d.n < 100 THEN t.n_spans ELSE 1 END AS n_spans, CASE WHEN d.doc_id = t.doc_id OR d.n < 100 THEN t.kept ELSE '' END AS kept
+  FROM d JOIN t USING (k))
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM o
+"""
+
 OP12_HEAD = r"""
 WITH k AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
@@ -204,4 +229,4 @@ LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_ngram_join": OP10_SQL, "op12_centroid_clusters": OP12_SQL, "op13_turn_repair": OP13_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_ngram_join": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op12_centroid_clusters": OP12_SQL, "op13_turn_repair": OP13_SQL}
