@@ -109,16 +109,17 @@ class Sieve:
     What else passes only costs work. With 2^27 bits, 10^7 anchors let 7 % of the others pass; the more there are, the more.
     """
 
-    def __init__(self, anchors: DataFrame):
-        cell = F.shiftrightunsigned("anchor", 64 - SIEVE_BITS)
-        words = anchors.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - SIEVE_BITS}) & 63 as int))").alias("bit"))
+    def __init__(self, anchors: DataFrame, bits: int = SIEVE_BITS):
+        self.shift = 64 - bits
+        cell = F.shiftrightunsigned("anchor", self.shift)
+        words = anchors.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {self.shift}) & 63 as int))").alias("bit"))
         found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-        table = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+        table = np.zeros(1 << (bits - 6), np.uint64)
         table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         self.table: Broadcast = anchors.sparkSession.sparkContext.broadcast(table)
 
     def passes(self, anchor: np.ndarray) -> np.ndarray:
-        cell = anchor.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+        cell = anchor.view(np.uint64) >> np.uint64(self.shift)
         return (self.table.value[cell >> np.uint64(6)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -185,7 +186,7 @@ def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             free = WINDOW - (f2 - f1)
             half = (free + 1) // 2
             left = min(n, max(0, f1 - half + 1))  # strings that begin at f1 - half or before
-            for side, first, count, a, b in (("L", 0, left, f1 - half, f2), ("R", left, n - left, f1, f2 + free - half)):
+            for side, first, count, a, b in (("L", 0, left, f1 - half, f2), ("R", left, n - left, f1, f2 + free - half + 1)):
                 if count:
                     key = xxhash.xxh3_64_intdigest(b"%d%c" % (cell, ord(side)) + data[a:b])
                     rows.append((key - (1 << 64) if key >> 63 else key, doc_id, mark, lo + first, count, a - first, b - first, data[first : first + count + WINDOW - 1]))
@@ -292,7 +293,7 @@ def _joined(texts: DataFrame, table: DataFrame, columns: list[str], how: str) ->
     return t.join(o, same, how).select("doc_id", "mark", "text", *columns)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, length), kept (if ``keep_bytes``).
 
     A byte goes if a string of WINDOW bytes around it also starts earlier: in a document with a smaller id, or earlier in
@@ -317,7 +318,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = bool(documents.where("rows > 1").head(1))
 
     shared = texts.select("mark", "text").mapInArrow(_anchors, "anchor long, mark long").groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b")
-    sieve = Sieve(shared)
+    sieve = Sieve(shared, sieve_bits)
     place = F.struct("doc_id", "mark", "lo", "f1")
     found = texts.mapInArrow(_finder(sieve), _RUN).groupBy("anchor", "stretch", "n").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
@@ -358,7 +359,7 @@ def _all_repeats(cells: DataFrame) -> DataFrame:
         x = F.struct("doc_id", "mark", "lo")
         halves = settle(halves.withColumn("later", F.coalesce((x > F.col("a")) & (x < F.col("b")), F.lit(False))).drop("stretch", "a", "b"), "suffix-cells")
         cuts.append(halves.where("later").select("doc_id", "mark", F.col("lo").alias("start"), F.col("n").cast("long").alias("n")))
-        cells = halves.where("not later").drop("later")
+        cells = halves.where("not later").select(cells.columns)
     rows = ready[0]
     for more in ready[1:]:
         rows = rows.unionByName(more)
