@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, matching, results, tables
+from . import documents, matching, results, runs, tables
 
-_MODULES = (matching, results, documents, tables)
+_MODULES = (matching, results, documents, tables, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
