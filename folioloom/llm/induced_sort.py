@@ -13,69 +13,81 @@ def _types(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(places[::-1])[::-1]] > 0
 
 
+def _deal(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, keys in that order, number of each within its key), the order by key being stable; ``count`` is 0, 1, 2, ..."""
+    order = keys.argsort(kind="stable")
+    keys = keys[order]
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return order, keys, count[: len(keys)] - new.nonzero()[0][new.cumsum() - 1]
+
+
+def _last(keys: np.ndarray) -> np.ndarray:
+    """True for the last of each run of equal keys."""
+    last = np.empty(len(keys), bool)
+    last[-1] = True
+    np.not_equal(keys[1:], keys[:-1], out=last[:-1])
+    return last
+
+
+_STRETCH = 1 << 16
+
+
 def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, width: int) -> np.ndarray:
-    """The suffix array that sorted leftmost-smaller suffixes (``seeds``) induce, in one pass up and one down the buckets.
+    """The suffix array that sorted leftmost-smaller suffixes (``seeds``) induce, in one scan up and one down.
 
-    A bucket is handled a batch at a time: the suffixes before those of a batch go to their own buckets together, in
-    order; those that fall into the bucket itself are its next batch.
+    A scan goes over a stretch of the array at a time: the suffixes before those that stand there go to the next free places of
+    their buckets, all together. Should one of these places lie in the stretch itself, only what stands before the
+    first such place is done, and the scan goes on from there: so no suffix is passed over before it is in place.
     """
     n = len(text)
+    text = text.astype(np.int64)
+    count = np.arange(min(n, _STRETCH))
     sizes = np.bincount(text, minlength=width)
     ends = np.cumsum(sizes)
     out = np.full(n, -1, np.int64)
-    large = np.bincount(text[~small], minlength=width)
-    head = ends - sizes
-    firsts = head.copy()
-
-    def deal(found: np.ndarray, place: np.ndarray, up: bool) -> None:
-        keys = text[found]
-        order = np.argsort(keys, kind="stable")
-        keys, found = keys[order], found[order]
-        new = np.flatnonzero(np.diff(keys, prepend=-1))
-        counts = np.diff(new, append=len(keys))
-        within = np.arange(len(keys)) - np.repeat(new, counts)
-        if up:
-            out[place[keys] + within] = found
-            place[keys[new]] += counts
-        else:
-            out[place[keys] - 1 - within] = found
-            place[keys[new]] -= counts
-
-    # larger suffixes: a bucket's own ones first, then its seeds
-    by_bucket = np.split(seeds, np.cumsum(np.bincount(text[seeds], minlength=width))[:-1])
-    last = np.array([n - 1])
-    deal(last, head, True)
-    for c in np.flatnonzero(sizes):
-        done = firsts[c]
-        while done < head[c]:
-            batch = out[done : head[c]]
-            done = head[c]
-            before = batch[batch > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                deal(before, head, True)
-        before = by_bucket[c]
-        before = before[before > 0] - 1
-        before = before[~small[before]]
-        if len(before):
-            deal(before, head, True)
-    # smaller suffixes, from the end of each bucket
-    tail = ends.copy()
-    for c in np.flatnonzero(sizes)[::-1]:
-        done = ends[c]
-        while tail[c] < done:
-            batch = out[tail[c] : done][::-1]
-            done = tail[c]
-            before = batch[batch > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                deal(before, tail, False)
-        begin = firsts[c]
-        batch = out[begin : begin + large[c]][::-1]
-        before = batch[batch > 0] - 1
-        before = before[small[before]]
-        if len(before):
-            deal(before, tail, False)
+    share = np.bincount(text[seeds], minlength=width)
+    out[np.arange(len(seeds)) + np.repeat(ends - np.cumsum(share), share)] = seeds
+    head, tail = ends - sizes, ends.copy()
+    out[head[text[n - 1]]] = n - 1
+    head[text[n - 1]] += 1
+    at, step = 0, 1024
+    while at < n:
+        stop = min(n, at + step)
+        place = (out[at:stop] > 0).nonzero()[0]
+        found = out[at:stop][place] - 1
+        fit = ~small[found]
+        place, found = place[fit], found[fit]
+        if len(found):
+            order, keys, within = _deal(text[found], count)
+            target = head[keys] + within
+            if (first := int(target.min())) < stop:
+                fine = place[order] < first - at
+                order, keys, target, stop = order[fine], keys[fine], target[fine], first
+            out[target] = found[order]
+            last = _last(keys)
+            head[keys[last]] = target[last] + 1
+        at, step = stop, min(_STRETCH, max(256, 2 * (stop - at)))
+    placed = (out >= 0).nonzero()[0]
+    out[placed[small[out[placed]]]] = -1
+    at, step = n, 1024
+    while at > 0:
+        stop = max(0, at - step)
+        place = (out[stop:at] > 0).nonzero()[0][::-1]
+        found = out[stop:at][place] - 1
+        fit = small[found]
+        place, found = place[fit], found[fit]
+        if len(found):
+            order, keys, within = _deal(text[found], count)
+            target = tail[keys] - 1 - within
+            if (last_place := int(target.max())) >= stop:
+                fine = place[order] > last_place - stop
+                order, keys, target, stop = order[fine], keys[fine], target[fine], last_place + 1
+            out[target] = found[order]
+            last = _last(keys)
+            tail[keys[last]] = target[last]
+        at, step = stop, min(_STRETCH, max(256, 2 * (at - stop)))
     return out
 
 
@@ -104,62 +116,12 @@ def _names(text: np.ndarray, marks: np.ndarray, ranked: np.ndarray) -> tuple[np.
     return out, int(name[-1]) + 1
 
 
-def _plain(text: list[int], width: int) -> list[int]:
-    """Induced sorting of a reduced text, whose buckets are many and small: one by one."""
-    n = len(text)
-    if n == 1:
-        return [0]
-    small = bytearray(n)
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    marks = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    sizes = np.bincount(text, minlength=width)
-    ends = np.cumsum(sizes)
-    starts, stops = (ends - sizes).tolist(), ends.tolist()
-
-    def induce(seeds: list[int]) -> list[int]:
-        out = [-1] * n
-        tail = stops[:]
-        for i in reversed(seeds):
-            tail[text[i]] -= 1
-            out[tail[text[i]]] = i
-        head = starts[:]
-        out_i = n - 1
-        out[head[text[out_i]]] = out_i
-        head[text[out_i]] += 1
-        for i in out:
-            if i > 0 and not small[i - 1]:
-                c = text[i - 1]
-                out[head[c]] = i - 1
-                head[c] += 1
-        tail = stops[:]
-        for k in range(n - 1, -1, -1):
-            i = out[k]
-            if i > 0 and small[i - 1]:
-                c = text[i - 1]
-                tail[c] -= 1
-                out[tail[c]] = i - 1
-        return out
-
-    if not marks:
-        return induce([])
-    is_mark = bytearray(n)
-    for i in marks:
-        is_mark[i] = 1
-    ranked = np.array([i for i in induce(marks) if is_mark[i]], np.int64)
-    names, many = _names(np.asarray(text, np.int64), np.asarray(marks, np.int64), ranked)
-    if many < len(marks):
-        order = _plain(names.tolist(), many)
-        return induce([marks[i] for i in order])
-    return induce(ranked.tolist())
-
-
 def suffix_array(text: np.ndarray, width: int) -> np.ndarray:
     """Places of all suffixes of ``text`` (numbers under ``width``) in order; a suffix that another begins with is the smaller.
 
     Suffixes are classified as smaller or larger than the next; the leftmost-smaller substrings are sorted by inducing
     from their first characters, named, and where names repeat, the text of names is sorted in the same way, recursively;
-    all other suffixes are induced from their order. Linear in the length, apart from a numpy step for each batch of a bucket.
+    all other suffixes are induced from their order. Linear in the length but for the sorting within a stretch.
     """
     n = len(text)
     if n < 2:
@@ -175,7 +137,7 @@ def suffix_array(text: np.ndarray, width: int) -> np.ndarray:
     ranked = order[is_mark[order]]
     names, many = _names(text, marks, ranked)
     if many < len(marks):
-        ranked = marks[np.array(_plain(names.tolist(), many), np.int64)]
+        ranked = marks[suffix_array(names, many)]
     return _induce(text, small, ranked, width)
 
 
@@ -188,12 +150,11 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text.astype(np.uint8 if text.dtype == np.uint8 else np.int64), np.zeros(most + 8, text.dtype)])
+    padded = np.concatenate([text, np.zeros(most + 8, text.dtype)])
     out = np.zeros(n, np.int32)
     live = np.flatnonzero(before >= 0)
     if text.dtype == np.uint8:
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        words = np.ascontiguousarray(words).view(np.uint64).ravel()
+        words = np.ndarray((len(padded) - 7,), np.uint64, padded.data, strides=(1,))
         depth = 0
         while len(live) and depth + 8 <= most:
             room = np.maximum(live, before[live]) + depth + 8 <= n

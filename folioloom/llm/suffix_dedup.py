@@ -256,7 +256,7 @@ def _remover(sieve: Sieve, keep_bytes: bool):
             for k in np.unique(r.text[keep]).tolist():
                 own = keep[r.text[keep] == k]
                 own = own[~np.isin(r.lo[own], np.array(listed[k] or (), np.int64))]
-                # a third copy, or a later one: like the second, which the suffix arrays have seen
+                # not the first with these bytes
                 for lo, n in zip(r.lo[own].tolist(), r.n[own].tolist(), strict=True):
                     again[k][lo : lo + n] = True
         out = []
@@ -300,8 +300,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the same one; strings never cross documents, and are judged on the input.
 
     1. Anchors that two different texts, or two places of one, have in common are counted, and kept as a ``Sieve``.
-    2. Runs with such anchors are counted by their bytes; the first and the last occurrence of each stretch go on, any others
-       will be treated as the last. So a group of copies of whatever size sends two.
+    2. Runs with such anchors are aggregated by their bytes: of equal stretches the first goes on, and the strings of the others
+       are all repeats. So a group of copies of whatever size sends one, and an anchor with one stretch is settled.
     3. Their bytes are fetched. An anchor with more than CELL bytes of different stretches (a common phrase in ever other
        surroundings) has its runs halved by the bytes around, until its cells are small; strings without a like drop out on the way.
     4. Shards of about SHARD bytes are suffix-sorted by induced sorting, with the permuted common prefixes up to WINDOW.
@@ -320,9 +320,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = texts.select("mark", "text").mapInArrow(_anchors, "anchor long, mark long").groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b")
     sieve = Sieve(shared, sieve_bits)
     place = F.struct("doc_id", "mark", "lo", "f1")
-    found = texts.mapInArrow(_finder(sieve), _RUN).groupBy("anchor", "stretch", "n").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
-    listed = settle(found.select("anchor", "n", F.explode(ends).alias("x")).select("anchor", "n", "x.*"), "suffix-runs")
+    found = texts.mapInArrow(_finder(sieve), _RUN).groupBy("anchor", "stretch", "n").agg(F.min(place).alias("x"))
+    listed = settle(found.select("anchor", "n", "x.*"), "suffix-runs")
 
     once = texts.dropDuplicates(["doc_id", "mark"]) if repeated else texts
     several = listed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
@@ -352,12 +351,12 @@ def _all_repeats(cells: DataFrame) -> DataFrame:
             break
         ready.append(_parted(cells, large, "left_anti"))
         halves = settle(_parted(cells, large, "left_semi").mapInArrow(_halve, _CELL).withColumn("stretch", F.xxhash64("bytes")), "suffix-halves")
-        # of equal stretches the first and the last stay, as before; the others are repeats
-        same = halves.groupBy("cell", "stretch", "n").agg(F.min(F.struct("doc_id", "mark", "lo")).alias("a"), F.max(F.struct("doc_id", "mark", "lo")).alias("b"), F.count("*").alias("c"))
+        # of equal stretches the first stays, as before; the others are repeats
+        same = halves.groupBy("cell", "stretch", "n").agg(F.min(F.struct("doc_id", "mark", "lo")).alias("a"), F.count("*").alias("c"))
         alone = same.groupBy("cell").agg(F.sum("c").alias("all")).where("all > 1").select("cell")
-        halves = halves.join(alone, "cell", "left_semi").join(same.where("c > 2").drop("c"), ["cell", "stretch", "n"], "left")
+        halves = halves.join(alone, "cell", "left_semi").join(same.where("c > 1").drop("c"), ["cell", "stretch", "n"], "left")
         x = F.struct("doc_id", "mark", "lo")
-        halves = settle(halves.withColumn("later", F.coalesce((x > F.col("a")) & (x < F.col("b")), F.lit(False))).drop("stretch", "a", "b"), "suffix-cells")
+        halves = settle(halves.withColumn("later", F.coalesce(x > F.col("a"), F.lit(False))).drop("stretch", "a"), "suffix-cells")
         cuts.append(halves.where("later").select("doc_id", "mark", F.col("lo").alias("start"), F.col("n").cast("long").alias("n")))
         cells = halves.where("not later").select(cells.columns)
     rows = ready[0]
