@@ -89,11 +89,11 @@ def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     "results_filter_page",
     FILES_SQL
     + """SELECT file_id, filename, status, total FROM (SELECT *, count(*) OVER () AS total FROM f WHERE status = 'needs_review' AND contains(lower(filename), 'src1') AND issue_count > 0)
-ORDER BY file_id LIMIT 50 OFFSET 50""",
+ORDER BY file_id LIMIT 50""",
 )
 def results_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.filter_results(_files(spark, sf_dir), "needs_review", "SRC1", True)
-    return R.page(found, ["file_id"], 2, 50).select("file_id", "filename", "status", "total")
+    return R.page(found, ["file_id"], 1, 50).select("file_id", "filename", "status", "total")
 
 
 @query("export_scope", FILES_SQL + "SELECT 'default' AS scope, count(*) AS n FROM f WHERE status IN ('success', 'needs_review') UNION ALL SELECT 'all', count(*) FROM f UNION ALL SELECT 'selected', count(*) FROM f WHERE file_id IN (1, 2, 3)")

@@ -1,4 +1,4 @@
-"""Registered queries: extraction runs over the documents, with a model that fails in all its ways."""
+"""Registered queries: extraction runs over the documents, with a model that fails in all its ways, and lifecycles of tasks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
+from ..operators import lifecycle as L
+from ..operators.durable import fresh_folder
+from ..streaming import lifecycle as stream
 from .registry import Registry, registrar, spread, table
 
 QUERIES: Registry = {}
@@ -117,3 +120,63 @@ def extraction_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extraction_issues", _SHOWN + "SELECT doc_id AS file_id, key, issue_type, message FROM i")
 def extraction_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).issues.select("file_id", "key", "issue_type", "message")
+
+
+def _log(events: DataFrame) -> DataFrame:
+    """Events as a log: users as tasks, four files each."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    action = (
+        F.when(n % 40 == 39, "cancel").when(n % 11 == 5, "start").when(kind.isin("signup", "view"), "add").when(kind.isin("click", "purchase"), "finish").otherwise("retry")
+    )
+    outcome = F.when(n % 5 == 0, "success").when(n % 5 == 1, "needs_review").otherwise("failed")
+    return events.select(F.col("user_id").cast("long").alias("task_id"), n.cast("long").alias("seq"), action.alias("action"), (F.floor(F.abs("value")) % 4).cast("long").alias("file_id"), outcome.alias("outcome"))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    """A task's own row as file -1."""
+    return found.fillna({"file_id": -1})
+
+
+LIFECYCLE_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT user_id AS task_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, floor(abs(value))::BIGINT % 4 + 1 AS f,
+         CASE WHEN event_id % 40 = 39 THEN 'cancel' WHEN event_id % 11 = 5 THEN 'start' WHEN event_type IN ('signup', 'view') THEN 'add' WHEN event_type IN ('click', 'purchase') THEN 'finish' ELSE 'retry' END AS a,
+         CASE event_id % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'needs_review' ELSE 'failed' END AS o
+  FROM events WHERE user_id IS NOT NULL),
+m AS (
+  SELECT DISTINCT task_id, 0::BIGINT AS n, 'draft' AS status, 0::BIGINT AS waiting, ['', '', '', ''] AS st, [0, 0, 0, 0]::BIGINT[] AS rt, [false, false, false, false] AS en FROM e
+  UNION ALL
+  SELECT task_id, n,
+         CASE WHEN ok AND a = 'start' THEN 'running' WHEN a = 'cancel' AND status IN ('draft', 'running') THEN 'cancelled'
+              WHEN ok AND a = 'finish' AND waiting = 1 AND NOT en[f] THEN CASE WHEN len(list_filter(st2, lambda x: x = 'processing')) > 0 THEN 'running' ELSE 'completed' END ELSE status END,
+         CASE WHEN ok AND a = 'start' THEN pend WHEN ok AND a = 'finish' AND waiting > 0 AND NOT en[f] THEN waiting - 1 ELSE waiting END,
+         st2, list_transform(range(1, 5), lambda i: CASE WHEN ok AND a = 'retry' AND i = f THEN rt[i] + 1 ELSE rt[i] END),
+         list_transform(range(1, 5), lambda i: en[i] OR (ok AND a = 'finish' AND i = f) OR (a = 'cancel' AND st[i] = 'pending'))
+  FROM (
+    SELECT *, list_transform(range(1, 5), lambda i: CASE WHEN ok AND a = 'add' AND i = f THEN 'pending' WHEN ok AND a = 'start' AND st[i] = 'pending' THEN 'processing'
+                WHEN a = 'cancel' AND st[i] = 'pending' THEN 'cancelled' WHEN ok AND a = 'finish' AND i = f THEN o WHEN ok AND a = 'retry' AND i = f THEN 'processing' ELSE st[i] END) AS st2
+    FROM (
+      SELECT *, CASE a WHEN 'add' THEN f IS NOT NULL AND status = 'draft' AND st[f] = '' WHEN 'start' THEN status = 'draft' AND pend > 0 WHEN 'finish' THEN coalesce(st[f] = 'processing', false)
+                  WHEN 'retry' THEN coalesce(st[f] IN ('failed', 'cancelled'), false) ELSE true END AS ok
+      FROM (SELECT e.task_id, e.n, e.a, e.f, e.o, status, waiting, st, rt, en, len(list_filter(st, lambda x: x = 'pending'))::BIGINT AS pend FROM m JOIN e ON e.task_id = m.task_id AND e.n = m.n + 1)))),
+z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1)
+SELECT task_id, -1::BIGINT AS file_id, status, 0::BIGINT AS retries FROM z
+UNION ALL SELECT task_id, i - 1, st[i], rt[i] FROM (SELECT *, unnest(range(1, 5)) AS i FROM z) WHERE st[i] <> ''
+"""
+
+
+@query("lifecycle_states", LIFECYCLE_SQL)
+def lifecycle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(L.states(_log(table(spark, sf_dir, "events")).where("task_id is not null")))
+
+
+@query("lifecycle_stream", LIFECYCLE_SQL)
+def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states, kept by a stateful stream that reads the events until it has them all."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    known = table(spark, sf_dir, "events")
+    one_file = all(f.endswith("/events.parquet") for f in known.inputFiles()[:1])  # a stream reads folders only
+    events = spark.readStream.schema(known.schema).option("pathGlobFilter", "events.parquet" if one_file else "*.parquet").parquet(sf_dir if one_file else f"{sf_dir}/events.parquet")
+    folder = fresh_folder(spark, "lifecycle")
+    stream.start(_log(events), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _flat(stream.latest(spark.read.schema(f"{stream.CHANGES}, batch int").parquet(f"{folder}/out")))
