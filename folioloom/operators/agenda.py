@@ -91,3 +91,44 @@ def headline_row(cells: DataFrame, scan: int = 5) -> DataFrame:
     pattern = F.coalesce(at(0, "is_text") & at(1, "is_number") & at(2, "is_text"), F.lit(False))
     wide = F.min(F.when((F.col("row") < scan) & (F.col("n") >= 3) & (F.col("t") >= F.col("n") * F.lit(0.6)), F.col("row")))
     return row.groupBy("sheet").agg(F.when(pattern, F.lit(2)).otherwise(F.coalesce(wide, F.lit(0))).alias("header_row"))
+
+
+# What is said of sheets and rows that can't be read, and the columns of a sheet without a header.
+NO_ORDER = "未识别顺序号列，请手动指定。"
+NO_IDENTITY = "标题和编号不能同时为空"
+TWICE = "顺序号重复，首次出现于第 %s 行"
+PLACES = ("order_no", "time_range", "title", "region")
+
+
+def read_sheets(cells: DataFrame, header_row: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rows, sheets) of many agenda sheets at once, from (sheet, row, col, value); rows and columns from 1.
+
+    rows: sheet, source_row, order_no, time_range, title, region, code, status (item, duplicate, missing_identity, skipped), error; the
+    items of a sheet are those with that status. sheets: sheet, header_row, headerless, skipped, error. The header is found by
+    ``find_header_rows``, else it is in ``header_row``; a sheet whose header names no order column may be one without a
+    header. Columns are resolved in the data: a role's column is a row of a table that is joined to the cells.
+    """
+    filled = cells.where("value is not null and value <> ''")
+    found = filled.select("sheet").distinct().join(find_header_rows(filled), "sheet", "left").withColumn("header_row", F.coalesce("header_row", F.lit(header_row)))
+    heads = filled.join(found, "sheet").where("row = header_row").select("sheet", "col", strip(F.col("value")).alias("header"))
+    roles = detect_mapping(heads, ("sheet",))
+    last = heads.groupBy("sheet", "header").agg(F.max("col").alias("col"))
+    by_header = roles.join(last, ["sheet", "header"]).select("sheet", "role", "col")
+    ordered = by_header.where("role = 'order_no'").select("sheet", F.lit(True).alias("ordered"))
+    bare = found.join(ordered, "sheet", "left").join(headerless(filled), "sheet", "left").withColumn("headerless", F.col("ordered").isNull() & F.coalesce("headerless", F.lit(False)))
+    by_place = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(k).alias("col")) for k, r in enumerate(PLACES, 1)))
+    placed = bare.where("headerless").select("sheet", F.inline(by_place))
+    named = by_header.join(bare.where("headerless").select("sheet"), "sheet", "left_anti")
+    columns = named.unionByName(placed.select("sheet", "role", F.col("col").cast("int").alias("col")))
+    body = filled.join(bare.select("sheet", "header_row", "headerless"), "sheet").where(F.col("headerless") | (F.col("row") > F.col("header_row")))
+    told = body.join(columns, ["sheet", "col"], "left").groupBy("sheet", F.col("row").alias("source_row"))
+    value = {r: F.max(F.when(F.col("role") == r, F.col("value"))) for r in ALIASES}
+    rows = told.agg(*(value[r].alias("order_raw" if r == "order_no" else r) for r in ALIASES))
+    judged = validate_rows(rows, ("sheet",)).withColumns({c: F.nullif(clean_cell(F.col(c)), F.lit("")) for c in ("time_range", "region", "title", "code")})
+    error = F.when(F.col("status") == "missing_identity", NO_IDENTITY).when(F.col("status") == "duplicate", F.format_string(TWICE, F.col("first_row").cast("string")))
+    rows = judged.select("sheet", "source_row", "order_no", "time_range", "title", "region", "code", "status", error.alias("error"))
+    skipped = rows.groupBy("sheet").agg(F.count_if(F.col("status") == "skipped").alias("skipped"))
+    sheets = bare.join(skipped, "sheet", "left").select(
+        "sheet", "header_row", "headerless", F.coalesce("skipped", F.lit(0)).alias("skipped"), F.when(F.col("ordered").isNull() & ~F.col("headerless"), NO_ORDER).alias("error")
+    )
+    return rows, sheets

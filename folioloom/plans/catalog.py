@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, matching, results, runs, tables
+from . import documents, matching, results, runs, sheets, tables
 
-_MODULES = (matching, results, documents, tables, runs)
+_MODULES = (matching, results, documents, tables, runs, sheets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
