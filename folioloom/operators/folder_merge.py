@@ -12,7 +12,7 @@ from ..functions.text import normalise_header, strip
 from ..sources.files import NA_TEXTS
 from .agenda import headline_row
 from .durable import keep
-from .merge import CANONICAL_FROM, GROUPS, MAP_FROM, NUMBER, number_rows
+from .merge import CANONICAL_FROM, GROUPS, MAP_FROM, NUMBER, SOURCE, align, normalise_mapping, number_rows
 from .similar import similar_pairs
 
 OUTPUT = "汇总结果.xlsx"
@@ -128,3 +128,24 @@ def merge_alike(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     numbered = number_rows(data.select("sheet", "row").distinct(), "sheet", ["row"], "number")
     placed = canonical.select(F.row_number().over(Window.orderBy("at")).alias("place"), "name")  # as many rows as the output has columns
     return merged.join(numbered, ["sheet", "row"]).select("number", "sheet", "row", F.col("target").alias("name"), "value"), placed
+
+
+def merge_tables(tables: list[tuple[str, DataFrame]], dedupe: bool = False) -> DataFrame:
+    """Some DataFrames under unified headers, with a source column, and optionally distinct rows (sources differ, so within a file).
+
+    Only their column names are clustered and go over the driver.
+    """
+    spark = tables[0][1].sparkSession
+    heads = spark.createDataFrame([(k, c, h) for k, (_, df) in enumerate(tables) for c, h in enumerate(df.columns)], "sheet int, col int, header string")
+    found = leaders(heads)
+    canonical = [r["name"] for r in found.orderBy("at").collect()]
+    targets: dict[int, dict[str, str]] = {}
+    for r in mapping(heads, found).collect():
+        targets.setdefault(r["sheet"], {})[r["header"]] = r["target"]
+    parts = [
+        align(df, normalise_mapping({h: targets[k][h] for h in df.columns}, canonical), canonical).withColumn(SOURCE, F.lit(name)) for k, (name, df) in enumerate(tables)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.dropDuplicates() if dedupe else out

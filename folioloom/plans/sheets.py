@@ -162,6 +162,6 @@ def folder_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("word_headers")
 def word_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified headers of a folder with a workbook a document, whose headers are the document's first five words."""
-    words = F.slice(F.split(F.trim(F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(200)), r"\s+", " ")), " "), 1, 5)
+    words = F.slice(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " "), 1, 5)
     heads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sheet"), F.posexplode(words).alias("col", "header"))
     return M.leaders(heads).select("key", "name", F.col("at.sheet").alias("sheet"), F.col("at.col").alias("col"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import agenda as A
+from ..operators import folder_merge as M
 from ..operators import merge as G
 from ..operators import results as R
 from ..operators import template as P
@@ -75,10 +76,13 @@ def merge_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "template_map",
-    """SELECT * FROM (VALUES (0, '字段名称', 'name'), (1, 'Data  Type', 'type'), (2, '名称', NULL), (3, '是否必填', 'required'), (4, '其他', NULL), (5, 'hint', 'prompt_hint')) v(pos, header, role)""",
+    """WITH h AS (SELECT p_partkey AS pos, ['字段名称', 'Data  Type', '名称', '是否必填', '其他', 'hint'][p_partkey % 6 + 1] AS header, ['name', 'type', 'name', 'required', NULL, 'prompt_hint'][p_partkey % 6 + 1] AS role FROM part)
+SELECT pos, header, CASE WHEN pos = min(pos) OVER (PARTITION BY role) THEN role END AS role FROM h""",
 )
 def template_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.map_columns(spark.createDataFrame([(0, "字段名称"), (1, "Data  Type"), (2, "名称"), (3, "是否必填"), (4, "其他"), (5, "hint")], "pos int, header string"))
+    words = F.array(*(F.lit(w) for w in ("字段名称", "Data  Type", "名称", "是否必填", "其他", "hint")))
+    k = F.col("p_partkey")
+    return P.map_columns(table(spark, sf_dir, "part").select(k.alias("pos"), F.get(words, (k % 6).cast("int")).alias("header")))
 
 
 @query(
@@ -97,10 +101,15 @@ def template_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.build_fields(rows)[0].select("template_id", "key", "name", F.col("ord").cast("long").alias("ord"), "type", "required")
 
 
-@query("template_from_headers", "SELECT * FROM (VALUES ('a_b', 'A B', 0), ('field', '!!', 1), ('金额', '金额', 2)) v(key, name, ord)")
+@query(
+    "template_from_headers",
+    """SELECT CASE n_nationkey % 5 WHEN 2 THEN 'field' ELSE trim(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', '_', 'g'), '_') END AS key, CASE n_nationkey % 5 WHEN 2 THEN '!!' ELSE n_name END AS name,
+row_number() OVER (ORDER BY n_nationkey) - 1 AS ord FROM nation WHERE n_nationkey % 5 IN (0, 2)""",
+)
 def template_from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = [(0, "A B"), (1, "Unnamed: 1"), (2, "!!"), (3, "nan"), (4, None), (5, " 金额 ")]
-    return P.fields_from_headers(spark.createDataFrame(heads, "pos int, header string")).select("key", "name", "ord")
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    header = F.when(k % 5 == 0, F.concat(F.lit(" "), "n_name", F.lit(" "))).when(k % 5 == 1, F.concat(F.lit("Unnamed: "), k.cast("string"))).when(k % 5 == 2, "!!").when(k % 5 == 3, "nan")
+    return P.fields_from_headers(n.select(k.alias("pos"), header.alias("header"))).select("key", "name", F.col("ord").cast("long").alias("ord"))
 
 
 @query(
@@ -110,7 +119,7 @@ def template_from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("segment"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name "), F.round("s_acctbal").cast("long").alias("balance"))
-    out = G.merge_tables([("c", c), ("s", s)])
+    out = M.merge_tables([("c", c), ("s", s)])
     return out.toDF("name", "segment", "balance", "source_file")
 
 
@@ -133,8 +142,10 @@ def merge_rownum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("merge_preview")
 def merge_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leader clustering with sequence similarity: no SQL form."""
-    return G.preview(spark, {"a.xlsx": ["姓名", "手机号", "City"], "b.xlsx": ["客户姓名", "联系电话", "Citys", "备注"]})
+    """Targets of the headers of a folder with a workbook a document, headed by its first five words: sequence similarity has no SQL form."""
+    words = F.slice(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), " "), 1, 5)
+    heads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sheet"), F.posexplode(words).alias("col", "header"))
+    return M.mapping(heads, M.leaders(heads)).select(F.col("sheet").alias("file"), F.col("header").alias("source_col"), F.col("target").alias("target_col"))
 
 
 @query(
@@ -149,11 +160,18 @@ def header_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.header_jaccard(h)
 
 
-@query("headers_exact", "SELECT 1 AS k, true AS exact UNION ALL SELECT 2, false")
+@query(
+    "headers_exact",
+    """WITH h AS (SELECT c_nationkey AS n, list_sort(list_distinct(list(lower(c_mktsegment)))) AS h, list_sort(list_distinct(list(lower(c_mktsegment) || CASE WHEN c_custkey % 100 = 7 THEN ' b' ELSE '' END))) AS g FROM customer GROUP BY 1)
+SELECT 1 AS k, count(DISTINCT h) <= 1 AS exact FROM h UNION ALL SELECT 2, count(DISTINCT g) <= 1 FROM h""",
+)
 def headers_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([(1, ["A-b", "c"]), (2, ["C ", "a b"])], "file_id int, headers array<string>")
-    b = spark.createDataFrame([(1, ["a"]), (2, ["b"])], "file_id int, headers array<string>")
-    return G.headers_equal(a).select(F.lit(1).alias("k"), "exact").union(G.headers_equal(b).select(F.lit(2), "exact"))
+    c, segment = table(spark, sf_dir, "customer"), F.col("c_mktsegment")
+    spelt = F.when(F.col("c_custkey") % 2 == 0, F.lower(segment)).otherwise(F.concat(F.lit(" "), segment, F.lit("-")))
+    other = F.when(F.col("c_custkey") % 100 == 7, F.concat(segment, F.lit("_b"))).otherwise(segment)
+    files = [c.groupBy(F.col("c_nationkey").alias("file_id")).agg(F.collect_set(h).alias("headers")) for h in (spelt, other)]
+    out = [G.headers_equal(f).select(F.lit(k).alias("k"), "exact") for k, f in enumerate(files, 1)]
+    return out[0].union(out[1])
 
 
 @query("column_widths", "SELECT least(greatest(6, max(length(c_name))) + 2, 50) AS c_name, least(greatest(12, max(length(c_mktsegment))) + 2, 50) AS c_mktsegment FROM customer")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioloom.functions import coerce as K
 from folioloom.functions import json_fields as J
 from folioloom.functions import text as T
-from folioloom.operators import backends, console, merge, results, template
+from folioloom.operators import backends, console, folder_merge, merge, results, template
 from folioloom.sources import files, ooxml, writers
 from folioloom.streaming import admission
 
@@ -101,11 +101,13 @@ def test_results(spark):
 
 
 def test_merge_against_pandas(spark):
-    assert merge.canonical_headers([["姓名", "手机号"], ["客户姓名", "联系电话", "City", "Citys"]]) == ["姓名", "联系电话", "City"]
+    heads = [(k, c, h) for k, f in enumerate([["姓名", "手机号"], ["客户姓名", "联系电话", "City", "Citys"]]) for c, h in enumerate(f)]
+    found = folder_merge.leaders(spark.createDataFrame(heads, "sheet int, col int, header string"))
+    assert [r["name"] for r in found.orderBy("at").collect()] == ["姓名", "联系电话", "City"]
     a, b = pd.DataFrame({"x": ["1", "2"], "y": ["a", "b"]}), pd.DataFrame({"y": ["c"], "z": ["d"]})
     got = merge.union_exact([spark.createDataFrame(a), spark.createDataFrame(b)]).toPandas()
     pd.testing.assert_frame_equal(got, pd.concat([a, b], ignore_index=True).fillna(""))
-    out = merge.merge_tables([("f1", spark.createDataFrame([("n", "1")], ["姓名", "手机"])), ("f2", spark.createDataFrame([("m", "2")], ["客户姓名", "电话"]))])
+    out = folder_merge.merge_tables([("f1", spark.createDataFrame([("n", "1")], ["姓名", "手机"])), ("f2", spark.createDataFrame([("m", "2")], ["客户姓名", "电话"]))])
     assert sorted(map(tuple, out.collect())) == [("m", "2", "f2"), ("n", "1", "f1")]
     rows = spark.createDataFrame([(1, "h", "序号", "Unnamed: 2"), (2, " a ", "1", "x"), (3, "h", "序号", "Unnamed: 2"), (4, "", " ", None)], ["n", "h", "序号", "Unnamed: 2"])
     # only a first row that repeats the header goes
