@@ -16,7 +16,7 @@ def _types(text: np.ndarray) -> np.ndarray:
 def _deal(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, keys in that order, number of each within its key), the order by key being stable; ``count`` is 0, 1, 2, ..."""
     order = keys.argsort(kind="stable")
-    keys = keys[order]
+    keys = keys[order].astype(np.int64, copy=False)
     new = np.empty(len(keys), bool)
     new[0] = True
     np.not_equal(keys[1:], keys[:-1], out=new[1:])
@@ -42,7 +42,6 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, width: int)
     first such place is done, and the scan goes on from there: so no suffix is passed over before it is in place.
     """
     n = len(text)
-    text = text.astype(np.int64)
     count = np.arange(min(n, _STRETCH))
     sizes = np.bincount(text, minlength=width)
     ends = np.cumsum(sizes)
@@ -142,38 +141,24 @@ def suffix_array(text: np.ndarray, width: int) -> np.ndarray:
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each place of ``text``, how much its suffix has in common with the one before it in ``order``, ``most`` at most.
+    """For each place of a text of bytes, how much its suffix has in common with the one before it in ``order``, ``most`` at most.
 
-    In text order the length falls by one at most from place to place, so where a place has ``most`` the next one has all but
-    one; places are compared eight bytes at a time, those still alike together.
+    Kept in text order, so all places are compared together, eight bytes at a time; those still alike go on.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(most + 8, text.dtype)])
-    out = np.zeros(n, np.int32)
-    live = np.flatnonzero(before >= 0)
-    if text.dtype == np.uint8:
-        words = np.ndarray((len(padded) - 7,), np.uint64, padded.data, strides=(1,))
-        depth = 0
-        while len(live) and depth + 8 <= most:
-            room = np.maximum(live, before[live]) + depth + 8 <= n
-            alike = (words[live + depth] == words[before[live] + depth]) & room
-            out[live[alike]] = depth + 8
-            rest = live[~alike]
-            _bytes(padded, before, out, rest, depth, min(depth + 8, most), n)
-            live = live[alike]
-            depth += 8
-        _bytes(padded, before, out, live, depth, most, n)
-    else:
-        _bytes(padded, before, out, live, 0, most, n)
-    return out
-
-
-def _bytes(padded: np.ndarray, before: np.ndarray, out: np.ndarray, live: np.ndarray, depth: int, most: int, n: int) -> None:
+    padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+    out = np.zeros(n, np.int64)
+    live, depth = (before >= 0).nonzero()[0], 0
+    other = before[live]
     while len(live) and depth < most:
-        room = np.maximum(live, before[live]) + depth < n
-        live = live[room]
-        live = live[padded[live + depth] == padded[before[live] + depth]]
-        depth += 1
-        out[live] = depth
+        unlike = words[live + depth] ^ words[other + depth]
+        alike = unlike == 0
+        ends, bits = live[~alike], unlike[~alike]
+        # the lowest bit that differs is in the first byte that does; a power of two is exact as a double
+        out[ends] = depth + (np.log2((bits & (~bits + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
+        live, other, depth = live[alike], other[alike], depth + 8
+    out[live] = depth
+    return np.minimum(np.minimum(out, most), np.where(before >= 0, n - np.maximum(before, np.arange(n)), 0))

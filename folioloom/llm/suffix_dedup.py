@@ -23,7 +23,7 @@ from .induced_sort import permuted_prefixes, suffix_array
 WINDOW, KMER = 100, 32
 PIECE = 1 << 20  # bytes searched for anchors at once; their places take as many bits
 SIEVE_BITS = 27  # of the bitmap of repeated anchors: 16 MB, whatever the data
-SHARD = 1 << 21  # bytes of a suffix array, about
+SHARD = 1 << 22  # bytes of a suffix array, about
 CELL = 1 << 16  # bytes of the stretches of one anchor from which they are told apart further
 FEW_KEYS = 1 << 18  # keys that are broadcast; more are shuffled
 END = 0xFF  # between stretches; not a byte of UTF-8
@@ -41,11 +41,14 @@ _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _K)
 
 
 def _kmer_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes whose upper bits are good for order; ``_mix`` them for anything else."""
     h, power, n = _BYTE[data], int(_K), 1
     while n < KMER:
-        h = h[:-n] * np.uint64(power) + h[n:]
-        power, n = power * power & 0xFFFFFFFFFFFFFFFF, n * 2
-    return _mix(h)
+        left = h[:-n] * np.uint64(power)
+        left += h[n:]
+        h, power, n = left, power * power & 0xFFFFFFFFFFFFFFFF, n * 2
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,18 +92,20 @@ def _runs(pack: list[tuple[int, int, memoryview]]) -> Runs:
     data = b"".join(p for _, _, p in pack)
     h = _kmer_hashes(np.frombuffer(data, np.uint8))
     places = np.uint64(PIECE - 1)
-    nearest = _least((h & ~places) | np.arange(len(h), dtype=np.uint64), WINDOW - KMER + 1) & places
+    ordered = h & ~places
+    ordered |= np.arange(len(h), dtype=np.uint64)
+    nearest = _least(ordered, WINDOW - KMER + 1)
     sizes = np.array([len(p) for _, _, p in pack])
-    windows = sizes - WINDOW + 1
     base = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(pack)), windows)
-    at = np.arange(len(of)) + np.repeat(base - (np.cumsum(windows) - windows), windows)
-    place = nearest[at].astype(np.int64)
-    first = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    n = np.diff(first, append=len(at))
-    start, part = at[first], of[first]
-    lo = start - base[part] + np.array([s for _, s, _ in pack])[part]
-    return Runs(memoryview(data), start, np.array([k for k, _, _ in pack])[part], lo, n, h[place[first]].view(np.int64), place[first] - start)
+    ends = base + sizes - WINDOW + 1  # of the places where strings begin
+    at = np.union1d(np.flatnonzero(nearest[1:] != nearest[:-1]) + 1, base)
+    part = np.searchsorted(base, at, "right") - 1
+    within = at < ends[part]
+    at, part = at[within], part[within]
+    n = np.minimum(np.append(at[1:], len(data)), ends[part]) - at
+    place = (nearest[at] & places).astype(np.int64)
+    lo = at - base[part] + np.array([s for _, s, _ in pack])[part]
+    return Runs(memoryview(data), at, np.array([k for k, _, _ in pack])[part], lo, n, _mix(h[place]).view(np.int64), place - at)
 
 
 class Sieve:
@@ -132,9 +137,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = batch.column("mark").to_numpy()
         for r in runs(_bytes_of(batch.column("text"))):
-            order = np.lexsort((r.anchor, r.text))
-            anchor, text = r.anchor[order], r.text[order]
-            again = (np.diff(anchor, prepend=0) == 0) & (np.diff(text, prepend=-1) == 0)
+            # texts of a pack are told apart by a multiplier; should two keys meet by chance, one anchor more passes
+            key = r.anchor ^ _mix(r.text.astype(np.uint64) + np.uint64(1)).view(np.int64)
+            order = key.argsort()
+            key, anchor, text = key[order], r.anchor[order], r.text[order]
+            again = np.concatenate([[False], key[1:] == key[:-1]])
             third = again & np.concatenate([[False], again[:-1]])
             mark = np.where(again, ~marks[text], marks[text])
             yield pa.RecordBatch.from_arrays([pa.array(anchor[~third]), pa.array(mark[~third])], names=["anchor", "mark"])
