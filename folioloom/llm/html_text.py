@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import lookup, settle
 from .url_filter import host_of, path_of
 
 _TOKEN = re.compile(
@@ -298,18 +298,30 @@ def nearest_pages(parsed: DataFrame) -> DataFrame:
     return joined.select("row", partner.alias("partner")).where("partner is not null")
 
 
+def nearest_others(parsed: DataFrame) -> DataFrame:
+    """(row, partner): as ``nearest_pages``, but of pages of one host with the same lines the first stands for all.
+
+    So a page's partner always differs from it, and a page that is there a million times is paired once.
+    """
+    rows = parsed.select("row", F.xxhash64("host", "hashes", "own").alias("kin"))
+    first = parsed.groupBy(F.xxhash64("host", "hashes", "own").alias("kin")).agg(F.min(F.struct("host", "path", "row")).alias("x"), F.count("*").alias("many"))
+    first = settle(first.select("kin", "many", "x.*"), "page-kin")
+    table = settle(first.join(nearest_pages(first), "row").select("kin", "many", "partner"), "page-partners")
+    return lookup(rows, table, "kin", "many", rows.count()).where("partner is not null").select("row", "partner")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars, n_shared, n_deleted.
 
     Each page becomes lines of text, one a block. It is paired with the page of its host whose path is nearest, the two
     line sequences are aligned by their longest common subsequence (``n_shared`` is its length), and shared lines are
-    deleted (``n_deleted``), as ``deletions`` says: all of them on a page without an article or main element; on one
+    deleted (``n_deleted`` counts those of the page's own lines alone), as ``deletions`` says: all of them on a page without an article or main element; on one
     that has it, all but those of the article, unless both pages have them in a menu or advert, since pages may well
     tell the same: in the test tables paragraphs of an article occur again on its host. What is left outside the article, or in a menu, form,
     advert or the like, and differs from page to page, goes by the structure of the page.
 
     Null html counts as empty and gives an empty text. A null URL has an empty host like all URLs without ``://``.
-    Repeated rows are rows of their own and may be each other's partner. Lines are compared by a hash of 64 bits. An
+    Repeated rows, and all pages of a host with the same lines, have the same partner, which differs from them. Lines are compared by a hash of 64 bits. An
     empty table gives an empty result.
     """
     rows = pages.select(
@@ -318,7 +330,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
     kind = rows.schema["page_id"].dataType.simpleString()
     parsed = settle(rows.mapInArrow(_parse(kind), _PARSED.format(kind=kind)), "page-lines")
-    pairs = nearest_pages(parsed)
+    pairs = nearest_others(parsed)
     others = parsed.select(F.col("row").alias("partner"), F.col("hashes").alias("other"), F.col("own").alias("others"))
     # both sides grow with the pages: neither is broadcast
     both = parsed.select("row", "article", "hashes", "own").join(pairs.hint("merge"), "row").join(others.hint("merge"), "partner")
@@ -327,7 +339,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [deletions(*page) for page in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True)]
-            counts = [pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)]
+            counts = [pa.array(c, pa.int32()) for c in ([f[0] for f in found], [len(f[2]) for f in found])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["row", "n_shared", "n_deleted", "drop"])
 
     aligned = settle(both.mapInArrow(align, "row long, n_shared int, n_deleted int, drop array<int>"), "page-shared")
