@@ -103,3 +103,22 @@ def field_lines(template: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), "key", F.lit(" ("), "name", F.lit("): "), "type", F.when(F.col("required"), F.lit(", required")).otherwise(F.lit("")))
     listed = template.groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("ord", line.alias("t")))).alias("l"))
     return listed.select("template_id", F.array_join(F.col("l.t"), "\n").alias("lines"))
+
+
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+
+
+def outline(answer: Column) -> Column:
+    """An answer's points, as (key, value) in order: its bullets and numbered lines, each split at its first colon or else numbered; without any, its sentences."""
+    item = lambda line: F.coalesce(*(F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in (r"^[-*•]\s+(.+)$", r"^\d+[.)]\s+(.+)$")))
+    items = F.array_compact(F.transform(F.split(answer, LINE_ENDS), lambda line: item(T.strip(line))))
+    sentences = F.filter(F.split(answer, r"[。！？.!?]\s*"), lambda s: s != "")
+
+    def point(text: Column, i: Column) -> Column:
+        parts = F.split(text, r"[：:]\s*", 2)
+        number = (i + 1).cast("string")
+        whole = F.size(parts) < 2
+        return F.struct(F.when(whole, number).otherwise(T.strip(parts[0])).alias("key"), F.when(whole, text).otherwise(T.strip(parts[1])).alias("value"))
+
+    numbered = lambda s, i: F.struct((i + 1).cast("string").alias("key"), T.strip(s).alias("value"))
+    return F.when(F.size(items) > 0, F.transform(items, point)).otherwise(F.transform(sentences, numbered))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction as X
 from ..operators import lifecycle as L
+from ..operators import scan as S
+from ..operators.console import outline
 from ..operators.durable import fresh_folder
 from ..streaming import lifecycle as stream
 from .registry import Registry, registrar, spread, table
@@ -180,3 +182,76 @@ def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "lifecycle")
     stream.start(_log(events), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return _flat(stream.latest(spark.read.schema(f"{stream.CHANGES}, batch int").parquet(f"{folder}/out")))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of pages of a hundred words; some pages have little native text or none, and their words as two modes read them."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{2,})"), 1)
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")).select("file_id", words.alias("w"))
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"), F.lit(100)))
+    pages = d.select("file_id", F.posexplode(F.transform(starts, lambda i: F.slice("w", i, F.lit(100)))).alias("p", "w")).withColumn("page_num", F.col("p") + 1)
+    kind = (F.col("file_id") + F.col("page_num")) % 4
+    native = F.when(kind == 0, F.array_join(F.slice("w", 1, 3), " ")).when(kind == 1, "").otherwise(F.array_join("w", " "))
+    natives = pages.select("file_id", "page_num", native.alias("native"))
+    seen = pages.select("file_id", "page_num", F.posexplode("w").alias("seq", "word"))
+    i = F.col("seq")
+    sure = F.when(i % 11 == 0, "88.5").when(i % 13 == 0, "-1").otherwise(((i * 7 + F.col("file_id")) % 101).cast("string"))
+    reads = seen.select("file_id", "page_num", F.lit(6).alias("mode"), "seq", "word", sure.alias("conf")).unionByName(
+        seen.where(i % 2 == 0).select("file_id", "page_num", F.lit(3).alias("mode"), "seq", "word", F.lit("90").alias("conf")))
+    errors = pages.where((F.col("file_id") + F.col("page_num")) % 9 == 0).select("file_id", "page_num", F.lit("no image").alias("error"))
+    return S.two_pass(natives, reads, "mixed", errors)
+
+
+SCAN_SQL = r"""
+WITH d AS (SELECT doc_id AS file_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}') AS w FROM documents),
+p AS (SELECT file_id, k + 1 AS page_num, w[k * 100 + 1:k * 100 + 100] AS w FROM (SELECT *, unnest(range((len(w) + 99) // 100)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT *, CASE (file_id + page_num) % 4 WHEN 0 THEN array_to_string(w[1:3], ' ') WHEN 1 THEN '' ELSE array_to_string(w, ' ') END AS native, (file_id + page_num) % 9 = 0 AS bad FROM p),
+t AS (SELECT file_id, page_num, w[s + 1] AS word, s, CASE WHEN s % 11 = 0 OR s % 13 = 0 THEN -1 ELSE (s * 7 + file_id) % 101 END AS c FROM (SELECT *, unnest(range(len(w))) AS s FROM n WHERE length(native) < 50)),
+r AS (
+  SELECT file_id, page_num, 2 AS place, 6 AS mode, string_agg(word, ' ' ORDER BY s) AS text, avg(c) AS confidence FROM t WHERE c >= 30 GROUP BY ALL
+  UNION ALL SELECT file_id, page_num, 1, 3, string_agg(word, ' ' ORDER BY s), 90.0 FROM t WHERE s % 2 = 0 GROUP BY ALL),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY file_id, page_num ORDER BY length(text) DESC, place) = 1),
+j AS (SELECT n.file_id, n.page_num, n.native, b.text, b.confidence, b.mode, n.bad AND length(n.native) < 50 AS failed, coalesce(NOT n.bad AND length(b.text) > length(n.native) * 1.2, false) AS better FROM n LEFT JOIN b USING (file_id, page_num)),
+z AS (SELECT file_id, page_num, CASE WHEN better THEN text ELSE native END AS text, better AS used_ocr, CASE WHEN better THEN confidence END AS confidence, CASE WHEN better THEN mode END AS mode, CASE WHEN failed THEN 'no image' END AS ocr_error FROM j)
+"""
+
+
+@query("scan_pages", SCAN_SQL + "SELECT file_id, page_num::INTEGER AS page_num, text, used_ocr, coalesce(round(confidence, 6), -1)::DOUBLE AS confidence, coalesce(mode, 0)::INTEGER AS mode, ocr_error FROM z")
+def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scanned(spark, sf_dir)
+    return found.select("file_id", "page_num", "text", "used_ocr", F.coalesce(F.round("ocr_confidence", 6), F.lit(-1.0)).alias("confidence"), F.coalesce("ocr_mode", F.lit(0)).alias("mode"), "ocr_error")
+
+
+@query(
+    "scan_files",
+    SCAN_SQL
+    + """SELECT file_id, count(*) AS pages, count(*) FILTER (used_ocr) AS ocr_pages, sum(length(text))::BIGINT AS total_chars, coalesce(round(avg(confidence), 6), -1)::DOUBLE AS mean_confidence,
+       coalesce(string_agg('page ' || page_num || ': ' || ocr_error, '; ' ORDER BY page_num), '') AS ocr_errors FROM z GROUP BY file_id""",
+)
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.scanned_files(_scanned(spark, sf_dir))
+    return found.select("file_id", "pages", "ocr_pages", "total_chars", F.coalesce(F.round("mean_confidence", 6), F.lit(-1.0)).alias("mean_confidence"), F.array_join("ocr_errors", "; ").alias("ocr_errors"))
+
+
+@query(
+    "answer_outline",
+    r"""WITH c AS (
+  SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN regexp_replace(coalesce(text, ''), '\. *', '.' || chr(10) || '- key' || turn || ': ', 'g') WHEN turn % 3 = 1 THEN '1. ' || replace(coalesce(text, ''), ', ', chr(10) || '2) ') ELSE coalesce(text, '') END AS t
+  FROM conversations),
+i AS (
+  SELECT conv_id, turn, t, list_filter(list_transform(regexp_split_to_array(t, '
+|[
+]'), lambda x: nullif(coalesce(nullif(regexp_extract(trim(x, ' ' || chr(9)), '^[-*•]\s+(.+)$', 1), ''), regexp_extract(trim(x, ' ' || chr(9)), '^\d+[.)]\s+(.+)$', 1)), '')), lambda x: x IS NOT NULL) AS items,
+         list_filter(regexp_split_to_array(t, '[。！？.!?]\s*'), lambda x: x <> '') AS sentences
+  FROM c),
+u AS (SELECT conv_id, turn, true AS item, unnest(items) AS x, generate_subscripts(items, 1) AS k FROM i WHERE len(items) > 0 UNION ALL SELECT conv_id, turn, false, unnest(sentences), generate_subscripts(sentences, 1) FROM i WHERE len(items) = 0)
+SELECT conv_id, turn, k AS place, CASE WHEN item AND regexp_matches(x, '[：:]') THEN trim(regexp_extract(x, '^([^：:]*)[：:]', 1)) ELSE k::VARCHAR END AS key,
+       CASE WHEN NOT item THEN trim(x, ' ' || chr(9) || chr(10) || chr(13)) WHEN regexp_matches(x, '[：:]') THEN trim(regexp_replace(x, '^[^：:]*[：:]\s*', '')) ELSE x END AS value
+FROM u""".replace("k AS place", "k::INTEGER AS place"),
+)
+def answer_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    keyed = F.regexp_replace(text, F.lit(r"\. *"), F.concat(F.lit(".\n- key"), turn.cast("string"), F.lit(": ")))
+    answer = F.when(turn % 3 == 0, keyed).when(turn % 3 == 1, F.concat(F.lit("1. "), F.replace(text, F.lit(", "), F.lit("\n2) ")))).otherwise(text)
+    points = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(outline(answer)).alias("k", "p"))
+    return points.select("conv_id", "turn", (F.col("k") + 1).alias("place"), "p.key", "p.value")
