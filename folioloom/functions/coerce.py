@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +45,61 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.when(text.try_cast("date").isNotNull(), text)
 
 
+# Names of months, of days, and words that may stand in a written date.
+MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sept?(?:ember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
+DAYS = "(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday)"
+FILLERS = "(?:at|on|and|ad|of|m|t|st|nd|rd|th)"
+
+
+def written_date(raw: Column) -> Column:
+    """yyyy-mm-dd of a written date with day, month and year, else null: ``12 March 2024``, ``Tue, Mar. 12th 24``, ``31/12/24 10:30``.
+
+    A number of three digits or more, or over 31, is the year. Beside a month's name the other number is the day; of two short ones
+    the day comes first, unless the name stands last. Without a name the month comes first, or the day where the first number can't be a
+    month, or the year where it can only be that. Years of two digits are the nearest to this year. Any other word makes it null, as
+    does a missing part, which some parsers take from today's date.
+    """
+    name = rf"\b({'|'.join(MONTHS)})\b"
+    text = F.regexp_replace(F.lower(strip(raw)), r"\b\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[ap]m\b)?", " ")
+    text = F.regexp_replace(text, r"(\d)(?:st|nd|rd|th)\b", "$1 ")
+    text = F.regexp_replace(text, r"(?<=\d)(?=[a-z])|(?<=[a-z])(?=\d)", " ")
+
+    def read(text: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(text, name, " "), rf"\b(?:{DAYS}|{FILLERS})\b", " ")
+        before = F.regexp_extract(text, rf"^(.*?)\b(?:{'|'.join(MONTHS)})\b", 1)
+        return F.struct(
+            F.element_at(F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m[:3], k))), F.nullif(F.left(F.regexp_extract(text, name, 1), F.lit(3)), F.lit(""))).alias("month"),
+            F.size(F.regexp_extract_all(text, F.lit(name), 1)).alias("names"), F.size(F.regexp_extract_all(before, F.lit(r"(\d+)"), 1)).alias("ahead"),
+            bare.rlike(r"^[\d\s.,;/'-]*$").alias("fine"), F.regexp_extract_all(bare, F.lit(r"(\d+)"), 1).alias("digits"),
+        )
+
+    def judged(q: Column) -> Column:
+        a, b, c = (F.get(q["digits"], F.lit(k)).try_cast("int") for k in range(3))
+        size = lambda k: F.length(F.get(q["digits"], F.lit(k)))
+        ymd = lambda y, m, d, k: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), size(k).alias("s"))
+        year_first = (size(0) > 2) | (a > 31)
+        named = F.when(year_first | (~((size(1) > 2) | (b > 31)) & (q["ahead"] == 2)), ymd(a, q["month"], b, 0)).otherwise(ymd(b, q["month"], a, 1))
+        plain = F.when(year_first, ymd(a, b, c, 0)).when(a > 12, ymd(c, b, a, 2)).otherwise(ymd(c, a, b, 2))
+        n = F.size(q["digits"])
+        return F.when(q["fine"] & (q["names"] == 1) & (n == 2), named).when(q["fine"] & (q["names"] == 0) & (n == 3), plain)
+
+    def dated(parts: Column) -> Column:
+        now = F.year(F.current_date())
+        near = parts["y"] + (now - now % 100)
+        near = F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
+        year = F.when((parts["s"] <= 2) & (parts["y"] < 100), near).otherwise(parts["y"])
+        return _ymd(F.lpad(year.cast("string"), 4, "0"), parts["m"].cast("string"), parts["d"].cast("string"))
+
+    return _once(_once(_once(text, read), judged), dated)
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def to_date(raw: Column) -> Column:
-    """A date as text: yyyy-mm-dd as it is, else year first, else month first, else eight digits in a row; else null.
+    """A date as text: yyyy-mm-dd as it is, else year first, else month first, else eight digits in a row, else ``written_date``; else null.
 
     Eight digits give month and day without leading zeros, as the reference does.
     """
@@ -58,6 +113,7 @@ def to_date(raw: Column) -> Column:
         .when(s.rlike(first) & _ymd(part(first, 1), part(first, 2), part(first, 3)).isNotNull(), _ymd(part(first, 1), part(first, 2), part(first, 3)))
         .when(s.rlike(last) & _ymd(part(last, 3), part(last, 1), part(last, 2)).isNotNull(), _ymd(part(last, 3), part(last, 1), part(last, 2)))
         .when(s.rlike(run) & compact.isNotNull(), short)
+        .otherwise(written_date(raw))
     )
 
 

@@ -245,6 +245,18 @@ def coerce_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", K.to_date(raw).alias("v"))
 
 
+@query("coerce_written_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 < 8 THEN strftime(o_orderdate, '%Y-%m-%d') END AS v FROM orders")
+def coerce_written_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in eight written forms, and some without a day."""
+    forms = ("d MMMM yyyy", "MMM d, yyyy", "EEEE, dd MMM yyyy", "dd-MMM-yyyy HH:mm", "yyyy MMMM d", "MMMM d yyyy 'at' hh:mm", "ddMMMyyyy")
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    ordinal = F.concat(F.date_format(d, "MMMM d"), F.lit("th of "), F.date_format(d, "yyyy"))
+    raw = F.when(k == 7, ordinal).when(k == 8, F.date_format(d, "MMMM yyyy"))
+    for i, form in enumerate(forms):
+        raw = raw.when(k == i, F.date_format(d, form))
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.to_date(raw).alias("v"))
+
+
 @query("coerce_bool", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS v FROM orders")
 def coerce_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
