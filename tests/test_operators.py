@@ -29,7 +29,7 @@ def test_coercion_of_extracted_values(spark):
     assert column(spark, ["1,234", "12.7", "约3份", "-5", "x", None], K.to_int) == [1234, 12, 3, -5, None, None]
     assert column(spark, ["1.2万元", "¥1,000.50", "$ 3", "none"], K.to_float) == [1.2, 1000.5, 3.0, None]
     dates = ["2024-02-30", "2024年3月5日", "3/5/2024", "13/05/2024", "20240305", "2024.13.40", "x"]
-    assert column(spark, dates, K.to_date) == ["2024-02-30", "2024-03-05", "2024-03-05", None, "2024-3-5", None, None]
+    assert column(spark, dates, K.to_date) == ["2024-02-30", "2024-03-05", "2024-03-05", "2024-05-13", "2024-3-5", None, None]
     assert column(spark, ["是", "错", " TRUE ", "maybe"], K.to_bool) == [True, False, True, None]
     assert column(spark, ["a；b，c", '["x", " y "]', "a、b", "one", "[bad", "a,,b"], K.to_list) == [["a", "b，c"], ["x", "y"], ["a", "b"], ["one"], ["[bad"], ["a", "b"]]
 
