@@ -32,6 +32,22 @@ def status_counts(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return files.groupBy(*by).agg(F.count("*").alias("total"), *counts)
 
 
+def run_figures(files: DataFrame, values: DataFrame) -> DataFrame:
+    """One row: total, success, needs_review, failed, and edited, the files of which any value was edited by hand."""
+    counts = status_counts(files).select("total", "success", "needs_review", "failed")
+    edited = values.where("manually_edited").agg(F.count_distinct("file_id").alias("edited"))
+    return counts.crossJoin(F.broadcast(edited))  # one row each
+
+
+def admission_tally(judged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of files as ``admit_files`` judges them: accepted, and rejected in all and by reason."""
+    reason = F.col("reason")
+    return judged.groupBy(*by).agg(
+        F.count_if(reason.isNull()).alias("accepted"), F.count_if(reason.isNotNull()).alias("rejected"),
+        F.count_if(reason == "unsupported").alias("unsupported"), F.count_if(reason == "duplicate").alias("duplicate"),
+    )
+
+
 def progress(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Share of files in an end state, in per cent with one decimal; 0 without files."""
     done = F.count_if(F.col("status").isin(*TERMINAL))

@@ -46,6 +46,17 @@ def admit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.admit_files(files).drop("pos")
 
 
+@query(
+    "admission_tally",
+    """WITH f AS (SELECT doc_id, lang, source || CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' ELSE '.txt' END AS filename, n_chars // 100 AS size FROM documents),
+g AS (SELECT lang, lower(right(filename, 4)) = '.txt' AS wrong, row_number() OVER (PARTITION BY filename, size ORDER BY doc_id) > 1 AS again FROM f)
+SELECT lang, count(*) FILTER (NOT wrong AND NOT again) AS accepted, count(*) FILTER (wrong OR again) AS rejected, count(*) FILTER (wrong) AS unsupported, count(*) FILTER (again AND NOT wrong) AS duplicate FROM g GROUP BY lang""",
+)
+def admission_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return R.admission_tally(admit_files(spark, sf_dir).join(langs, "doc_id"), ("lang",))
+
+
 @query("task_counts", FILES_SQL + "SELECT task_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in R.STATUSES) + " FROM f GROUP BY task_id")
 def task_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.status_counts(_files(spark, sf_dir), ("task_id",))
@@ -127,6 +138,15 @@ def patch_recalc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edited(spark, sf_dir)[0].select("file_id", "key", "raw_value", "manually_edited")
 
 
+@query(
+    "run_figures",
+    """SELECT count(*) AS total, count(*) FILTER (c_custkey % 5 <> 2 AND c_custkey % 7 <> 0) AS success, count(*) FILTER (c_custkey % 5 = 2 OR c_custkey % 7 = 0) AS needs_review, 0::BIGINT AS failed,
+       count(*) FILTER (c_custkey % 5 IN (0, 2, 3)) AS edited FROM customer""",
+)
+def run_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.run_figures(status_after_edit(spark, sf_dir), _edited(spark, sf_dir)[0])
+
+
 @query(
     "status_after_edit",
     """SELECT c_custkey AS file_id, CASE WHEN c_custkey % 5 = 2 OR c_custkey % 7 = 0 THEN 'needs_review' ELSE 'success' END AS status,
