@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .durable import keep
+from .ladder import GRAM, rungs
+from .similar import similar_pairs
 
-#: The items are broadcast up to this many characters in all; beyond it, candidates come from a join on n-grams.
+#: Every task holds the items up to this many characters in all; beyond it, candidates come from joins.
 BROADCAST_CHARS = 16_000_000
-GRAM = 8
+SIMILAR_FROM = 0.8
 AUTO_SCORE, AUTO_MARGIN = 0.85, 0.10
 SCORES = {"code_exact": 1.0, "code_normalised": 0.98, "title_exact": 0.95, "title_contains": 0.90}
 METHOD_ORDER = ("code_exact", "code_normalised", "title_exact", "title_contains", "title_similarity", "keyword")
@@ -35,32 +38,45 @@ def _grams(text: Column, n: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
 
 
-def containment_pairs(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
-    """(item_id, file_id) where one normalised title contains the other; both sides have ``nt``.
+def _contained(short: DataFrame, long: DataFrame, short_key: str, long_key: str) -> DataFrame:
+    """(short_key, long_key) where ``s`` of ``short`` is in ``l`` of ``long``, as an equi-join on n-grams with verification.
 
-    While the items' titles together are at most BROADCAST_CHARS long they are broadcast and documents stream past
-    them. Beyond, no side is broadcast: the shorter title's first GRAM characters (all of it, if it is shorter) must be
-    among the n-grams of that length of the longer one, which is an equi-join, and its hits are verified.
+    The first GRAM characters of the shorter text (all of it, if it is shorter) must be among the n-grams of that length of the longer one.
     """
-    i = items.where("nt <> ''").select(item_key, F.col("nt").alias("it"))
-    d = docs.where("nt <> ''").select(doc_key, F.col("nt").alias("dt"))
-    either = F.contains("dt", "it") | F.contains("it", "dt")
-    if (i.agg(F.sum(F.length("it")).alias("n")).first()["n"] or 0) <= BROADCAST_CHARS:
-        return d.join(F.broadcast(i), either).select(item_key, doc_key)
-    lengths = i.select(F.least(F.length("it"), F.lit(GRAM)).alias("n")).union(d.select(F.least(F.length("dt"), F.lit(GRAM)))).distinct()
-    sizes = F.array(*(F.lit(n) for n in sorted(r["n"] for r in lengths.collect())))  # at most GRAM numbers
+    n = F.least(F.length("s"), F.lit(GRAM))
+    heads = short.select(short_key, "s", n.alias("n"), F.left("s", n).alias("g"))
+    sizes = F.array(*(F.lit(r["n"]) for r in heads.select("n").distinct().orderBy("n").collect()))  # at most GRAM numbers
+    spread = long.select(long_key, "l", F.explode(sizes.cast("array<int>")).alias("n")).where(F.length("l") >= F.col("n"))
+    grams = spread.select(long_key, "l", "n", F.explode(_grams(F.col("l"), F.col("n"))).alias("g"))
+    return heads.join(grams, ["n", "g"]).where(F.contains("l", "s")).select(short_key, long_key)
+
+
+def _fits(items: DataFrame) -> bool:
+    """Whether the items' titles are few enough to be held by every task."""
+    return (items.agg(F.sum(F.length("nt")).alias("n")).first()["n"] or 0) <= BROADCAST_CHARS
 
-    def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-        spread = df.select(key, text, F.explode(sizes).alias("n")).where(F.length(text) >= F.col("n"))
-        return spread.select(key, text, "n", F.explode(_grams(F.col(text), F.col("n"))).alias("g"))
 
-    def headed(df: DataFrame, key: str, text: str) -> DataFrame:
-        n = F.least(F.length(text), F.lit(GRAM))
-        return df.select(key, text, n.alias("n"), F.left(text, n).alias("g"))
+def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
+    """(item_id, file_id, score, method) of the rungs of ``ladder.rungs``; the documents stream past the items."""
+    tokens = T.keyword_tokens(F.col("nt"))
+    agenda = [tuple(r) for r in items.where("nt <> ''").select(item_key, "nt", tokens).collect()]  # BROADCAST_CHARS at most
+    kinds = {"item_id": items.schema[item_key].dataType, "file_id": docs.schema[doc_key].dataType}
+    schema = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items()) + ", score double, method string"
+    return docs.select(F.col(doc_key).alias("file_id"), F.col("nt").alias("dt")).mapInPandas(rungs(agenda, least), schema)
 
-    a = headed(i, item_key, "it").join(keyed(d, doc_key, "dt"), ["n", "g"]).where(F.contains("dt", "it"))
-    b = headed(d, doc_key, "dt").join(keyed(i, item_key, "it"), ["n", "g"]).where(F.contains("it", "dt"))
-    return a.select(item_key, doc_key).union(b.select(item_key, doc_key)).distinct()
+
+def containment_pairs(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
+    """(item_id, file_id) where one normalised title contains the other; both sides have ``nt``.
+
+    While the items' titles together are at most BROADCAST_CHARS long, documents stream past them. Beyond, it is an
+    equi-join on n-grams either way.
+    """
+    if _fits(items):
+        return _streamed(items, docs, None, item_key, doc_key).select(F.col("item_id").alias(item_key), F.col("file_id").alias(doc_key))
+    i, d = items.where("nt <> ''").select(item_key, F.col("nt").alias("s")), docs.where("nt <> ''").select(doc_key, F.col("nt").alias("s"))
+    a = _contained(i, d.withColumnRenamed("s", "l"), item_key, doc_key)
+    b = _contained(d, i.withColumnRenamed("s", "l"), doc_key, item_key).select(item_key, doc_key)
+    return a.union(b).distinct()
 
 
 def code_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -71,30 +87,29 @@ def code_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("item_id", "file_id", F.when(exact, F.lit(1.0)).otherwise(F.lit(0.98)).alias("score"), F.when(exact, "code_exact").otherwise("code_normalised").alias("method"))
 
 
-def title_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Equal titles by a hash join, containment by ``containment_pairs``."""
+def title_pairs(items: DataFrame, docs: DataFrame, similarity: bool = False) -> DataFrame:
+    """Equal titles by a hash join, containment by ``containment_pairs``; with ``similarity`` also the two rungs below.
+
+    A pair may be there by several rungs. Each document is read once for all of them, unless the items are many.
+    """
     i, d = items.where("title <> ''").select("item_id", "title"), docs.where("doc_title <> ''").select("file_id", F.col("doc_title").alias("dtitle"))
     exact = i.join(d, F.col("title") == F.col("dtitle")).select("item_id", "file_id", F.lit(0.95).alias("score"), F.lit("title_exact").alias("method"))
+    if _fits(items):
+        return exact.unionByName(_streamed(items, docs, SIMILAR_FROM if similarity else None))
     within = containment_pairs(items, docs).select("item_id", "file_id", F.lit(0.90).alias("score"), F.lit("title_contains").alias("method"))
-    return exact.unionByName(within)
-
-
-def residual_pairs(items: DataFrame, docs: DataFrame, settled: DataFrame) -> DataFrame:
-    """Similarity and keyword rungs, for pairs that no rung above took.
-
-    Keywords are native. The sequence ratio, a UDF, sees only pairs whose lengths and characters allow 0.8: the ratio
-    is at most twice the shared characters over all characters.
-    """
-    i = items.where("nt <> ''").select("item_id", F.col("nt").alias("it"))
-    d = docs.where("nt <> ''").select("file_id", F.col("nt").alias("dt"))
-    open_ = d.join(F.broadcast(i), F.length("dt") > 0).join(settled.select("item_id", "file_id"), ["item_id", "file_id"], "left_anti")
-    la, lb = F.length("it"), F.length("dt")
-    letters = lambda x: F.array_distinct(F.split(x, ""))
-    lost = F.size(F.array_except(letters(F.col("it")), letters(F.col("dt"))))
-    near = (F.least(la, lb) * 2 >= F.lit(0.8) * (la + lb)) & ((la - lost) * 2 >= F.lit(0.8) * (la + lb))
-    close = open_.where(near).withColumn("sim", T.sequence_ratio("it", "dt")).where("sim >= 0.8D")
-    alike = close.select("item_id", "file_id", F.when(F.col("sim") >= 0.9, F.lit(0.88)).otherwise(F.lit(0.75)).alias("score"), F.lit("title_similarity").alias("method"))
-    words = open_.withColumn("score", F.least(T.keyword_score(F.col("it"), F.col("dt")), F.lit(0.6))).where("score > 0")
+    return exact.unionByName(within).unionByName(residual_pairs(items, docs)) if similarity else exact.unionByName(within)
+
+
+def residual_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Similarity and keyword rungs by joins, for items that no task can hold."""
+    i = items.where("nt <> ''").select("item_id", F.col("nt").alias("a"))
+    d = docs.where("nt <> ''").select("file_id", F.col("nt").alias("b"))
+    close = i.join(similar_pairs(i, d, SIMILAR_FROM), "a").join(d, "b")
+    alike = close.select("item_id", "file_id", F.when(F.col("ratio") >= 0.9, F.lit(0.88)).otherwise(F.lit(0.75)).alias("score"), F.lit("title_similarity").alias("method"))
+    tokens = i.select("item_id", T.keyword_tokens(F.col("a")).alias("t")).select("item_id", F.size("t").alias("of"), F.explode("t").alias("s"))
+    tokens = tokens.groupBy("item_id", "of", "s").agg(F.count("*").alias("times"))
+    met = tokens.join(_contained(tokens.select("s").distinct().withColumn("token", F.col("s")), d.withColumnRenamed("b", "l"), "token", "file_id").distinct(), F.col("s") == F.col("token"))
+    words = met.groupBy("item_id", "file_id").agg(F.least(F.lit(0.60) * F.sum("times") / F.first("of"), F.lit(0.6)).alias("score"))
     return alike.unionByName(words.select("item_id", "file_id", "score", F.lit("keyword").alias("method")))
 
 
@@ -107,12 +122,11 @@ def match_scores(items: DataFrame, docs: DataFrame, similarity: bool = True, nat
     """(item_id, file_id, score, method) of every pair with a score above 0.
 
     ``items``: item_id, title, code. ``docs``: file_id, filename, extracted_title, extracted_code. Rungs are strictly
-    ordered, so a pair's highest score is the first rung it reaches.
+    ordered, so a pair's highest score is the first rung it reaches. The scores are kept as a table: what follows reads them more than once.
     """
     docs = docs.withColumn("doc_title", F.coalesce(F.nullif("extracted_title", F.lit("")), T.strip_extension(F.col("filename"))))
     i, d = prepared(items, "title", "code", native), prepared(docs, "doc_title", "extracted_code", native)
-    upper = best_rung(code_pairs(i, d).unionByName(title_pairs(i, d)))
-    return best_rung(upper.unionByName(residual_pairs(i, d, upper))) if similarity else upper
+    return keep(best_rung(code_pairs(i, d).unionByName(title_pairs(i, d, similarity))), "match-scores")
 
 
 def ranked(scores: DataFrame, docs: DataFrame) -> DataFrame:
