@@ -109,9 +109,14 @@ def mapping(headers: DataFrame, canonical: DataFrame, least: float = MAP_FROM) -
     groups = _groups(headers.sparkSession).select("key", "alias_group")
     by_group = canonical.join(groups, "key").groupBy("alias_group").agg(F.min_by("name", "at").alias("by_group"))
     alias = keys.join(groups, "key").join(by_group, "alias_group").select("key", "by_group")
-    near = similar_pairs(keys.select(F.col("key").alias("a")), canonical.select(F.col("key").alias("b")), least).join(canonical.select(F.col("key").alias("b"), "name", "at"), "b")
-    best = near.groupBy(F.col("a").alias("key")).agg(F.max("ratio").alias("top")).join(near.withColumnRenamed("a", "key"), "key").where("ratio = top").groupBy("key").agg(F.min_by("name", "at").alias("by_ratio"))
     same = canonical.select("key", F.col("name").alias("by_key"))
+    # those of a group or with an equal key need no likeness; for most others there is a near one, and far ones need not be sought
+    open_ = keys.join(alias, "key", "left_anti").join(same, "key", "left_anti").select(F.col("key").alias("a"))
+    to = canonical.select(F.col("key").alias("b"))
+    near = keep(similar_pairs(open_, to, max(least, CANONICAL_FROM)), "mapping-near")
+    far = similar_pairs(open_.join(near.select("a"), "a", "left_anti"), to, least)
+    near = near.union(far).join(canonical.select(F.col("key").alias("b"), "name", "at"), "b")
+    best = near.groupBy(F.col("a").alias("key")).agg(F.max("ratio").alias("top")).join(near.withColumnRenamed("a", "key"), "key").where("ratio = top").groupBy("key").agg(F.min_by("name", "at").alias("by_ratio"))
     table = keys.join(alias, "key", "left").join(same, "key", "left").join(best, "key", "left").select("key", F.coalesce("by_group", "by_key", "by_ratio").alias("target"))
     return keyed.join(table, "key", "left").select("sheet", "col", "header", F.coalesce("target", "header").alias("target"))
 
