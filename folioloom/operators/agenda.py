@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .durable import keep
 
 # Header texts of the agenda roles, in the order in which exact matches are preferred.
 ALIASES = {
@@ -15,6 +19,8 @@ ALIASES = {
     "region": ("所在地", "地区", "省市", "省份", "地域"),
     "code": ("编号", "材料编号", "议题编号", "文号", "文件编号"),
 }
+#: The aliases that contain no other alias: a header with any alias has one of these.
+SHORTEST = sorted({w for words in ALIASES.values() for w in words if not any(o != w and o in w for others in ALIASES.values() for o in others)})
 WEIGHTS = {"order_no": 3, "title": 3, "time_range": 1, "region": 1, "code": 1}
 
 
@@ -30,7 +36,9 @@ def alias_rank(header: Column, role: str) -> Column:
 
 def detect_mapping(headers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(col, header) -> (role, header): an exact alias first, in alias order, else the first header that contains one."""
-    ranks = headers.select(*by, "col", "header", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), alias_rank(F.col("header"), r).alias("rank")) for r in ALIASES))).alias("a"))
+    low = F.lower("header")
+    might = reduce(or_, (F.contains(low, F.lit(w)) for w in SHORTEST))  # few cells of a sheet, and the rest isn't multiplied by the roles
+    ranks = headers.where(might).select(*by, "col", "header", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), alias_rank(F.col("header"), r).alias("rank")) for r in ALIASES))).alias("a"))
     hit = ranks.where("a.rank is not null").select(*by, "a.role", "header", F.struct("a.rank", "col").alias("at"))
     return hit.groupBy(*by, "role").agg(F.min_by("header", "at").alias("header"))
 
@@ -106,9 +114,10 @@ def read_sheets(cells: DataFrame, header_row: int = 1) -> tuple[DataFrame, DataF
     rows: sheet, source_row, order_no, time_range, title, region, code, status (item, duplicate, missing_identity, skipped), error; the
     items of a sheet are those with that status. sheets: sheet, header_row, headerless, skipped, error. The header is found by
     ``find_header_rows``, else it is in ``header_row``; a sheet whose header names no order column may be one without a
-    header. Columns are resolved in the data: a role's column is a row of a table that is joined to the cells.
+    header. Columns are resolved in the data: one row a sheet says which column has which role. The cells are kept as a table, since they are
+    read several times, and what is made of them is shuffled once, by sheet.
     """
-    filled = cells.where("value is not null and value <> ''")
+    filled = keep(cells.where("value is not null and value <> ''").select("sheet", "row", "col", "value"), "agenda-cells")
     found = filled.select("sheet").distinct().join(find_header_rows(filled), "sheet", "left").withColumn("header_row", F.coalesce("header_row", F.lit(header_row)))
     heads = filled.join(found, "sheet").where("row = header_row").select("sheet", "col", strip(F.col("value")).alias("header"))
     roles = detect_mapping(heads, ("sheet",))
@@ -120,9 +129,10 @@ def read_sheets(cells: DataFrame, header_row: int = 1) -> tuple[DataFrame, DataF
     placed = bare.where("headerless").select("sheet", F.inline(by_place))
     named = by_header.join(bare.where("headerless").select("sheet"), "sheet", "left_anti")
     columns = named.unionByName(placed.select("sheet", "role", F.col("col").cast("int").alias("col")))
-    body = filled.join(bare.select("sheet", "header_row", "headerless"), "sheet").where(F.col("headerless") | (F.col("row") > F.col("header_row")))
-    told = body.join(columns, ["sheet", "col"], "left").groupBy("sheet", F.col("row").alias("source_row"))
-    value = {r: F.max(F.when(F.col("role") == r, F.col("value"))) for r in ALIASES}
+    at = columns.groupBy("sheet").agg(*(F.max(F.when(F.col("role") == r, F.col("col"))).alias(f"at_{r}") for r in ALIASES))
+    body = filled.join(bare.select("sheet", "header_row", "headerless").join(at, "sheet", "left"), "sheet").where(F.col("headerless") | (F.col("row") > F.col("header_row")))
+    told = body.groupBy("sheet", F.col("row").alias("source_row"))
+    value = {r: F.max(F.when(F.col("col") == F.col(f"at_{r}"), F.col("value"))) for r in ALIASES}
     rows = told.agg(*(value[r].alias("order_raw" if r == "order_no" else r) for r in ALIASES))
     judged = validate_rows(rows, ("sheet",)).withColumns({c: F.nullif(clean_cell(F.col(c)), F.lit("")) for c in ("time_range", "region", "title", "code")})
     error = F.when(F.col("status") == "missing_identity", NO_IDENTITY).when(F.col("status") == "duplicate", F.format_string(TWICE, F.col("first_row").cast("string")))
