@@ -1,8 +1,9 @@
 """The rungs on titles for one agenda in memory: documents stream past it once, and each is read once, whatever the number of items.
 
-A string is in a text only if its first GRAM characters (all of it, if it is shorter) are. So the n-grams of a text are hashed in numpy and
-looked up among those heads, and only strings whose head was found are searched for. The similarity of two titles is bounded from
-above by what their characters and pairs of characters have in common; only titles that may reach the least ratio go to the matcher.
+A string is in a text only if its head is: its first eight characters, or four, two or one, if it has no more. So the grams of these sizes
+of a text are hashed in numpy and looked up among the heads, and only strings whose head was found are searched for. The similarity of two
+titles is bounded from above by what their characters and pairs of characters have in common, and by their longest common subsequence, which is
+found for a block of titles at once; only titles that may reach the least ratio go to the matcher.
 """
 
 from __future__ import annotations
@@ -16,23 +17,29 @@ import pandas as pd
 
 GRAM = 8
 #: Characters of texts that are hashed at a time, unless one text alone is longer.
-AT_ONCE = 1 << 19
-BITS = 22
+AT_ONCE = 1 << 17
+#: Titles whose common subsequence with a text is found at once.
+TOGETHER = 24
 _MIX = np.random.default_rng(5).integers(1 << 60, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
-_TOP = np.uint64(64 - BITS)
 
 
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def head_size(n: int) -> int:
+    """The largest gram that ``n`` characters have."""
+    return min(1 << n.bit_length() - 1, GRAM)
+
+
 def gram_hashes(codes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, hashes of the n-grams at each start) for n from 1 to ``most``."""
-    wide = codes.astype(np.uint64)
-    h = np.zeros(len(wide), np.uint64)
-    for n in range(1, min(most, len(wide)) + 1):
-        h = h[: len(wide) - n + 1] + wide[n - 1 :] * _MIX[n - 1]
-        yield n, h
+    """(n, hashes of the n-grams at each start) for n = 1, 2, 4, 8 up to ``most``; each is made of two of half the size."""
+    half = codes.astype(np.uint64) * _MIX[0]
+    n = 1
+    while n <= most and len(half):
+        yield n, half
+        half = half[:-n] * _MIX[n // 2 + 1] + (half[n:] ^ (half[n:] >> np.uint64(29))) * _MIX[n // 2]
+        n *= 2
 
 
 class Strings:
@@ -42,15 +49,16 @@ class Strings:
         self.strings = strings
         by_head: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, s in enumerate(strings):
-            n = min(len(s), GRAM)
+            n = head_size(len(s))
             *_, (_, h) = gram_hashes(codes_of(s[:n]), n)
             by_head[n][int(h[0])].append(k)
         self.sizes = {}
         for n, heads in by_head.items():
             hashes = np.array(sorted(heads), np.uint64)
-            bitmap = np.zeros(1 << BITS, bool)
-            bitmap[hashes >> _TOP] = True
-            self.sizes[n] = bitmap, hashes, [heads[int(h)] for h in hashes]
+            top = np.uint64(64 - _bits(len(heads)))
+            bitmap = np.zeros(1 << _bits(len(heads)), bool)
+            bitmap[hashes >> top] = True
+            self.sizes[n] = bitmap, top, hashes, [heads[int(h)] for h in hashes]
 
     def found(self, texts: list[str]) -> list[list[int]]:
         """The numbers of the strings in each text."""
@@ -61,8 +69,8 @@ class Strings:
         for n, h in gram_hashes(codes_of("\0".join(texts)), max(self.sizes)):
             if n not in self.sizes:
                 continue
-            bitmap, hashes, members = self.sizes[n]
-            at = np.flatnonzero(bitmap[h >> _TOP])
+            bitmap, top, hashes, members = self.sizes[n]
+            at = np.flatnonzero(bitmap[h >> top])
             head = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
             true = hashes[head] == h[at]
             where = np.searchsorted(ends, at[true], side="right")
@@ -72,44 +80,60 @@ class Strings:
         return out
 
 
+def _bits(n: int) -> int:
+    """Size of a bitmap of ``n`` hashes: sparse, and small enough for a processor's cache while they are few."""
+    return min(max(n.bit_length() + 5, 16), 26)
+
+
 class Inside:
     """Finds which of some titles contain a text."""
 
     def __init__(self, titles: list[str]) -> None:
         self.titles, self.most = titles, max(map(len, titles), default=0)
-        self.bitmaps = np.zeros((GRAM + 1, 1 << BITS), bool)
+        bits = _bits(sum(map(len, titles)))
+        self.top = np.uint64(64 - bits)
+        self.bitmaps = {1 << k: np.zeros(1 << bits, bool) for k in range(GRAM.bit_length())}
         for t in titles:
             for n, h in gram_hashes(codes_of(t), GRAM):
-                self.bitmaps[n][h >> _TOP] = True
+                self.bitmaps[n][h >> self.top] = True
 
     def holders(self, text: str) -> list[int]:
         if not text or len(text) > self.most:
             return []
-        n = min(len(text), GRAM)
+        n = head_size(len(text))
         *_, (_, h) = gram_hashes(codes_of(text), n)
-        return [k for k, t in enumerate(self.titles) if text in t] if self.bitmaps[n][h >> _TOP].all() else []
+        return [k for k, t in enumerate(self.titles) if text in t] if self.bitmaps[n][h >> self.top].all() else []
 
 
 def _pairs_of(codes: np.ndarray) -> np.ndarray:
     return np.bincount((codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(40503)) >> np.uint32(22), minlength=1024).astype(np.int16)
 
 
-def _masks(text: str) -> dict[str, int]:
-    """For each character the bits of its places."""
-    out: dict[str, int] = defaultdict(int)
-    for k, c in enumerate(text):
-        out[c] |= 1 << k
-    return dict(out)
+class Block:
+    """The longest common subsequences of a few titles with a text, all of them at a time in the bits of one number.
 
+    A title has a bit a character; the bit behind them stays empty, so that no sum carries over into the next title.
+    """
 
-def _in_common(masks: dict[str, int], n: int, other: str) -> int:
-    """Length of the longest common subsequence, all rows of a column at a time in the bits of a number."""
-    full = (1 << n) - 1
-    v = full
-    for c in other:
-        if u := v & masks.get(c, 0):
-            v = ((v + u) | (v - u)) & full
-    return n - v.bit_count()
+    def __init__(self, titles: list[str]) -> None:
+        self.masks: dict[str, int] = defaultdict(int)
+        self.full, self.places, at = 0, [], 0
+        for title in titles:
+            for k, c in enumerate(title):
+                self.masks[c] |= 1 << at + k
+            self.places.append((at, (1 << len(title)) - 1))
+            self.full |= self.places[-1][1] << at
+            at += len(title) + 1
+        self.masks = dict(self.masks)
+
+    def in_common(self, text: str, numbers: list[int]) -> list[int]:
+        """Lengths for the titles with these numbers."""
+        v = full = self.full
+        masks = self.masks
+        for c in text:
+            if c in masks and (u := v & masks[c]):
+                v = ((v + u) | (v ^ u)) & full
+        return [ones.bit_count() - (v >> at & ones).bit_count() for at, ones in map(self.places.__getitem__, numbers)]
 
 
 class Alike:
@@ -125,7 +149,7 @@ class Alike:
         self.order = sorted(range(len(titles)), key=lambda k: len(titles[k]))
         self.titles, self.least = [titles[k] for k in self.order], least
         self.lengths = np.array([len(t) for t in self.titles], np.int64)
-        self.masks: dict[int, dict[str, int]] = {}
+        self.blocks: dict[int, Block] = {}
         coded = [codes_of(t) for t in self.titles]
         self.letters = np.array([np.bincount(c & np.uint32(63), minlength=64) for c in coded], np.int16).reshape(-1, 64)
         self.pairs = np.array([_pairs_of(c) for c in coded], np.int16).reshape(-1, 1024)
@@ -157,25 +181,26 @@ class Alike:
 
     def found(self, text: str) -> list[tuple[int, float]]:
         """(number of the title, ratio)."""
-        out, matcher = [], SequenceMatcher(None, "", "")
+        out, matcher = [], None
         at = self.candidates(text)
-        matcher.set_seq2(text if len(at) else "")
-        for k in at.tolist():
-            title = self.titles[k]
-            masks = self.masks.get(k) or self.masks.setdefault(k, _masks(title))
-            if 2 * _in_common(masks, len(title), text) < self.least * (len(title) + len(text)) - 1e-6:
-                continue
-            matcher.set_seq1(title)
-            if (ratio := matcher.ratio()) >= self.least:
-                out.append((self.order[k], ratio))
+        for b in np.unique(at // TOGETHER).tolist():
+            block = self.blocks.get(b) or self.blocks.setdefault(b, Block(self.titles[b * TOGETHER : (b + 1) * TOGETHER]))
+            some = at[at // TOGETHER == b].tolist()
+            for k, common in zip(some, block.in_common(text, [k % TOGETHER for k in some]), strict=True):
+                if 2 * common < self.least * (len(self.titles[k]) + len(text)) - 1e-6:
+                    continue
+                matcher = matcher or SequenceMatcher(None, "", text)
+                matcher.set_seq1(self.titles[k])
+                if (ratio := matcher.ratio()) >= self.least:
+                    out.append((self.order[k], ratio))
         return out
 
 
-def rungs(agenda: list[tuple], least: float | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def rungs(agenda: list[tuple], least: float | None, normalise: Callable[[str | None], str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Maps documents (file_id, dt) to (item_id, file_id, score, method) of every rung that holds.
 
     ``agenda``: (item_id, title, tokens), no title empty. Without ``least`` only containment is looked at; with it also similarity from there on,
-    and tokens.
+    and tokens. With ``normalise`` the documents' titles come raw.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,14 +232,14 @@ def rungs(agenda: list[tuple], least: float | None) -> Callable[[Iterator[pd.Dat
             yield from ((item, min(0.60 * n / of_all, 0.6), "keyword") for (item, of_all), n in hits.items())
 
         for batch in batches:
-            batch = batch[batch["dt"] != ""]  # here, as a filter before would have the titles normalised twice
             keys, texts = batch["file_id"].tolist(), batch["dt"].tolist()
-            part = np.cumsum([len(t) + 1 for t in texts]) // AT_ONCE
-            out = []
+            part = np.cumsum([len(t or "") + 1 for t in texts]) // AT_ONCE
             for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
-                some = [texts[k] for k in cut]
-                for k, found in zip(cut, search.found(some), strict=True):
-                    out += ((item, keys[k], score, method) for item, score, method in of(texts[k], found))
-            yield pd.DataFrame(out, columns=["item_id", "file_id", "score", "method"])
+                out = []
+                some = [normalise(texts[k]) if normalise else texts[k] for k in cut]
+                for k, text, found in zip(cut, some, search.found(some), strict=True):
+                    out += ((item, keys[k], score, method) for item, score, method in of(text, found))
+                if out:
+                    yield pd.DataFrame(out, columns=["item_id", "file_id", "score", "method"])
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,13 +58,17 @@ def _fits(items: DataFrame) -> bool:
     return (items.agg(F.sum(F.length("nt")).alias("n")).first()["n"] or 0) <= BROADCAST_CHARS
 
 
-def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
-    """(item_id, file_id, score, method) of the rungs of ``ladder.rungs``; the documents stream past the items."""
+def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key: str = "item_id", doc_key: str = "file_id", fold: bool = True) -> DataFrame:
+    """(item_id, file_id, score, method) of the rungs of ``ladder.rungs``; the documents stream past the items.
+
+    Documents without ``nt`` have their ``doc_title`` normalised on the way, as ``fold`` of ``plain_title`` says.
+    """
     tokens = T.keyword_tokens(F.col("nt"))
     agenda = [tuple(r) for r in items.where("nt <> ''").select(item_key, "nt", tokens).collect()]  # BROADCAST_CHARS at most
     kinds = {"item_id": items.schema[item_key].dataType, "file_id": docs.schema[doc_key].dataType}
     schema = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items()) + ", score double, method string"
-    return docs.select(F.col(doc_key).alias("file_id"), F.col("nt").alias("dt")).mapInPandas(rungs(agenda, least), schema)
+    title, normalise = ("nt", None) if "nt" in docs.columns else ("doc_title", partial(T.plain_title, fold=fold))
+    return docs.select(F.col(doc_key).alias("file_id"), F.col(title).alias("dt")).mapInPandas(rungs(agenda, least, normalise), schema)
 
 
 def containment_pairs(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
@@ -87,15 +93,18 @@ def code_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("item_id", "file_id", F.when(exact, F.lit(1.0)).otherwise(F.lit(0.98)).alias("score"), F.when(exact, "code_exact").otherwise("code_normalised").alias("method"))
 
 
-def title_pairs(items: DataFrame, docs: DataFrame, similarity: bool = False) -> DataFrame:
+def title_pairs(items: DataFrame, docs: DataFrame, similarity: bool = False, native: bool = False) -> DataFrame:
     """Equal titles by a hash join, containment by ``containment_pairs``; with ``similarity`` also the two rungs below.
 
-    A pair may be there by several rungs. Each document is read once for all of them, unless the items are many.
+    A pair may be there by several rungs. Each document is read once for all of them, unless the items are many. Documents may come
+    without ``nt``, as ``prepared`` makes it with or without ``native``.
     """
     i, d = items.where("title <> ''").select("item_id", "title"), docs.where("doc_title <> ''").select("file_id", F.col("doc_title").alias("dtitle"))
     exact = i.join(d, F.col("title") == F.col("dtitle")).select("item_id", "file_id", F.lit(0.95).alias("score"), F.lit("title_exact").alias("method"))
     if _fits(items):
-        return exact.unionByName(_streamed(items, docs, SIMILAR_FROM if similarity else None))
+        return exact.unionByName(_streamed(items, docs, SIMILAR_FROM if similarity else None, fold=not native))
+    if "nt" not in docs.columns:
+        docs = docs.withColumn("nt", (T.normalise_title_native if native else T.normalise_title)(F.col("doc_title")))
     within = containment_pairs(items, docs).select("item_id", "file_id", F.lit(0.90).alias("score"), F.lit("title_contains").alias("method"))
     return exact.unionByName(within).unionByName(residual_pairs(items, docs)) if similarity else exact.unionByName(within)
 
@@ -125,8 +134,8 @@ def match_scores(items: DataFrame, docs: DataFrame, similarity: bool = True, nat
     ordered, so a pair's highest score is the first rung it reaches. The scores are kept as a table: what follows reads them more than once.
     """
     docs = docs.withColumn("doc_title", F.coalesce(F.nullif("extracted_title", F.lit("")), T.strip_extension(F.col("filename"))))
-    i, d = prepared(items, "title", "code", native), prepared(docs, "doc_title", "extracted_code", native)
-    return keep(best_rung(code_pairs(i, d).unionByName(title_pairs(i, d, similarity))), "match-scores")
+    i, d = prepared(items, "title", "code", native), prepared(docs, "doc_title", "extracted_code", native).drop("nt")
+    return keep(best_rung(code_pairs(i, d).unionByName(title_pairs(i, d, similarity, native))), "match-scores")
 
 
 def ranked(scores: DataFrame, docs: DataFrame) -> DataFrame:

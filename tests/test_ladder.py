@@ -69,3 +69,43 @@ def test_large_agendas_give_the_same_and_no_plan_pairs_all_with_all(spark, monke
     for p in (pairs, many):
         plan = p._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_block_finds_each_title_s_common_subsequence():
+    from folioloom.operators.ladder import Block
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [max(row[k], new) if x != y else row[k - 1] + 1 for k, (y, new) in enumerate(zip(b, _seen(row, x, b), strict=True), 1)]
+        return row[-1]
+
+    def _seen(row, x, b):  # the new row's own values, from the left
+        left, out = 0, []
+        for k, y in enumerate(b, 1):
+            out.append(left)
+            left = row[k - 1] + 1 if x == y else max(row[k], left)
+        return out
+
+    rng = random.Random(4)
+    titles = ["".join(rng.choice("abcé😀") for _ in range(rng.randint(1, 70))) for _ in range(12)] + ["b" * 64, "a"]
+    block = Block(titles)
+    for text in ["", "b" * 80, "zzz", *titles[:4], "".join(rng.choice("abcéx") for _ in range(90))]:
+        assert block.in_common(text, list(range(len(titles)))) == [plain(t, text) for t in titles]
+
+
+def test_plain_title_is_the_column_s(spark):
+    rng = random.Random(6)
+    parts = [".pdf", ".PDF", ".docx", ".xlſx", "\n", "\r\n", "\r", "\x85", " ", "\x1c", "　", " ", "。", ".", "《", "]", "’", "ﬁ", "Ａ", "①", "材料", "发言稿", "报告材料", "汇报稿", "é", "é", "😀", "x"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", T.normalise_title(F.col("t")).alias("folded"), T.normalise_title_native(F.col("t")).alias("native")).collect():
+        assert (T.plain_title(row["t"], True), T.plain_title(row["t"], False)) == (row["folded"], row["native"]), row["t"]
+
+
+def test_documents_titles_are_normalised_in_the_pass(spark):
+    items = spark.createDataFrame([(1, "《Annual report》材料", "")], "item_id int, title string, code string").withColumn("nt", T.normalise_title(F.col("title")))
+    docs = spark.createDataFrame([(7, "x Ａnnual report y.pdf"), (8, "Annual repost"), (9, None)], "file_id int, doc_title string")
+    pairs = M.title_pairs(items, docs, similarity=True)
+    assert sorted((r["file_id"], r["score"], r["method"]) for r in M.best_rung(pairs).collect()) == [(7, 0.90, "title_contains"), (8, 0.88, "title_similarity")]
+    assert "ArrowEvalPython" not in pairs._jdf.queryExecution().executedPlan().toString()
