@@ -67,3 +67,20 @@ def test_prompt_text(spark):
             parts.append(X.CHUNK_MARK % (len(parts) + 1) + chunk)
             used, start = used + len(chunk), start + 11_500
         assert r["p"] == (text if n <= 80_000 else "\n\n".join(parts))
+
+
+def test_many_files_of_one_task_go_through_python_in_slices(spark):
+    n = 2 * X.AT_ONCE + 3
+    files = [(k, f"f{k}", "raise" if k % 10 == 0 else json.dumps({"a": str(k), "c": ["x"]}), "locked" if k % 7 == 0 else None, k % 3 or None) for k in range(n)]
+    df = spark.createDataFrame(files, "file_id int, filename string, text string, read_error string, earlier_retries int").coalesce(1)
+    template = spark.createDataFrame(TEMPLATE, "key string, name string, type string, required boolean, ord int")
+    asked = X.answered(df, template, lambda prompt: json.dumps({"seen": prompt.split(X.OPEN, 1)[1][: -len(X.CLOSE)]}) if "raise" not in prompt.split(X.OPEN, 1)[1] else 1 / 0)
+    assert "MapInArrow" in asked._jdf.queryExecution().executedPlan().toString()
+    rows = {r["file_id"]: r for r in asked.collect()}
+    assert len(rows) == n
+    for k, name, text, locked, earlier in files:
+        failed = locked or (X.GAVE_UP % (3, "division by zero") if k % 10 == 0 else None)
+        r = rows[k]
+        assert (r["filename"], r["text"], r["error_message"]) == (name, text, failed)
+        assert r["raw_json"] == (None if failed else json.dumps({"seen": text}, ensure_ascii=False))
+        assert r["retry_count"] == (earlier + 1 if earlier else 0) + (3 if failed and not locked and k % 10 == 0 else 0) or k % 10 == 0
