@@ -1,16 +1,17 @@
 """The rungs on titles for one agenda in memory: documents stream past it once, and each is read once, whatever the number of items.
 
-A string is in a text only if its head is: its first eight characters, or four, two or one, if it has no more. So the grams of these sizes
-of a text are hashed in numpy and looked up among the heads, and only strings whose head was found are searched for. The similarity of two
-titles is bounded from above by what their characters and pairs of characters have in common, and by their longest common subsequence, which is
-found for a block of titles at once; only titles that may reach the least ratio go to the matcher.
+A string is in a text only if its head is: the first eight bytes of its UTF-8, or four, two or one, if it has no more. So the bytes of a text
+are taken as numbers of these sizes in numpy and looked up among the heads, and only strings whose head was found are searched for. The similarity
+of two titles is bounded from above by what their characters and pairs of characters have in common, and by their longest common subsequence, which
+is found for a block of titles at once, those that the other bounds leave; only titles that may reach the least ratio go to the matcher.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,16 @@ TOGETHER = 24
 _MIX = np.random.default_rng(5).integers(1 << 60, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
 
 
+def bytes_of(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def head_size(n: int) -> int:
-    """The largest gram that ``n`` characters have."""
+    """The largest gram that ``n`` characters or bytes have."""
     return min(1 << n.bit_length() - 1, GRAM)
 
 
@@ -47,36 +52,55 @@ class Strings:
 
     def __init__(self, strings: list[str]) -> None:
         self.strings = strings
+        raw = [bytes_of(s) for s in strings]
+        self.lengths = np.array([len(r) for r in raw], np.int64)
         by_head: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, s in enumerate(strings):
-            n = head_size(len(s))
-            *_, (_, h) = gram_hashes(codes_of(s[:n]), n)
-            by_head[n][int(h[0])].append(k)
+        for k, r in enumerate(raw):
+            n = head_size(len(r))
+            by_head[n][int.from_bytes(r[:n], "little")].append(k)
         self.sizes = {}
-        for n, heads in by_head.items():
-            hashes = np.array(sorted(heads), np.uint64)
-            top = np.uint64(64 - _bits(len(heads)))
-            bitmap = np.zeros(1 << _bits(len(heads)), bool)
-            bitmap[hashes >> top] = True
-            self.sizes[n] = bitmap, top, hashes, [heads[int(h)] for h in hashes]
+        for n, members in by_head.items():
+            heads = np.array(sorted(members), f"<u{n}")
+            bits = min(_bits(len(heads)), 8 * n)
+            mix, top = heads.dtype.type(_MIX[0] >> np.uint64(64 - 8 * n) | np.uint64(1)), heads.dtype.type(8 * n - bits)
+            bitmap = np.zeros(1 << bits, bool)
+            bitmap[heads * mix >> top] = True
+            number = np.array([len(members[int(h)]) for h in heads])
+            order = np.array([k for h in heads for k in members[int(h)]])
+            tails = np.array([int.from_bytes(raw[k][-n:], "little") for k in order], heads.dtype)
+            self.sizes[n] = bitmap, mix, top, heads, number, np.cumsum(number) - number, order, tails
 
     def found(self, texts: list[str]) -> list[list[int]]:
         """The numbers of the strings in each text."""
         out: list[list[int]] = [[] for _ in texts]
-        if not self.sizes:
-            return out
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        for n, h in gram_hashes(codes_of("\0".join(texts)), max(self.sizes)):
-            if n not in self.sizes:
+        raw = [bytes_of(t) for t in texts]
+        ends, joined = np.cumsum([len(r) + 1 for r in raw]) - 1, b"\0".join(raw)
+        for n, (bitmap, mix, top, heads, number, starts, order, tails) in self.sizes.items():
+            if len(joined) < n:
                 continue
-            bitmap, top, hashes, members = self.sizes[n]
-            at = np.flatnonzero(bitmap[h >> top])
-            head = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-            true = hashes[head] == h[at]
-            where = np.searchsorted(ends, at[true], side="right")
-            for key in np.unique(where * len(hashes) + head[true]).tolist():
-                t, g = divmod(key, len(hashes))
-                out[t] += [k for k in members[g] if self.strings[k] in texts[t]]
+            grams = np.ndarray(len(joined) - n + 1, heads.dtype, joined, strides=(1,))
+            at = np.flatnonzero(bitmap[(grams * mix >> top).astype(np.intp, copy=False)])
+            head = np.minimum(np.searchsorted(heads, grams[at]), len(heads) - 1)
+            true = heads[head] == grams[at]
+            at, head = at[true], head[true]
+            where = np.searchsorted(ends, at)
+            if whole := number[head].sum() <= 4 * len(joined):
+                # a place for each string with that head; one of fewer bytes than two heads is there if its tail is
+                each = np.repeat(np.arange(len(at)), number[head])
+                place = np.arange(len(each)) - np.repeat(np.cumsum(number[head]) - number[head], number[head]) + starts[head[each]]
+                last = at[each] + self.lengths[order[place]] - n
+                ends_here = last + n <= ends[where[each]]
+                each, place, last = each[ends_here], place[ends_here], last[ends_here]
+                true = grams[last] == tails[place]
+                keys = np.unique(where[each[true]] * len(self.strings) + order[place[true]])
+            else:
+                heads_of = np.unique(where * len(heads) + head)
+                keys = np.concatenate([key // len(heads) * len(self.strings) + order[starts[g] : starts[g] + number[g]] for key in heads_of for g in [key % len(heads)]])
+            sure = whole & (self.lengths[keys % len(self.strings)] < 2 * n)
+            for key, known in zip(keys.tolist(), sure.tolist(), strict=True):
+                t, k = divmod(key, len(self.strings))
+                if known or self.strings[k] in texts[t]:
+                    out[t].append(k)
         return out
 
 
@@ -109,31 +133,42 @@ def _pairs_of(codes: np.ndarray) -> np.ndarray:
     return np.bincount((codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(40503)) >> np.uint32(22), minlength=1024).astype(np.int16)
 
 
+def _masks(title: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    masks: dict[str, int] = defaultdict(int)
+    for k, c in enumerate(title):
+        masks[c] |= 1 << k
+    return dict(masks)
+
+
 class Block:
     """The longest common subsequences of a few titles with a text, all of them at a time in the bits of one number.
 
     A title has a bit a character; the bit behind them stays empty, so that no sum carries over into the next title.
     """
 
-    def __init__(self, titles: list[str]) -> None:
-        self.masks: dict[str, int] = defaultdict(int)
+    def __init__(self, titles: list[str], masks_of: Callable[[str], dict[str, int]] = _masks) -> None:
         self.full, self.places, at = 0, [], 0
         for title in titles:
-            for k, c in enumerate(title):
-                self.masks[c] |= 1 << at + k
-            self.places.append((at, (1 << len(title)) - 1))
+            self.places.append((at, (1 << len(title)) - 1, masks_of(title)))
             self.full |= self.places[-1][1] << at
             at += len(title) + 1
-        self.masks = dict(self.masks)
 
-    def in_common(self, text: str, numbers: list[int]) -> list[int]:
+    def in_common(self, text: str, numbers: Iterable[int]) -> list[int]:
         """Lengths for the titles with these numbers."""
+        masks = {}
+        for c in set(text):
+            mask = 0
+            for at, _, own in self.places:
+                if c in own:
+                    mask |= own[c] << at
+            if mask:
+                masks[c] = mask
         v = full = self.full
-        masks = self.masks
-        for c in text:
-            if c in masks and (u := v & masks[c]):
+        for mask in [masks[c] for c in text if c in masks]:
+            if u := v & mask:
                 v = ((v + u) | (v ^ u)) & full
-        return [ones.bit_count() - (v >> at & ones).bit_count() for at, ones in map(self.places.__getitem__, numbers)]
+        return [ones.bit_count() - (v >> at & ones).bit_count() for at, ones, _ in map(self.places.__getitem__, numbers)]
 
 
 class Alike:
@@ -149,7 +184,7 @@ class Alike:
         self.order = sorted(range(len(titles)), key=lambda k: len(titles[k]))
         self.titles, self.least = [titles[k] for k in self.order], least
         self.lengths = np.array([len(t) for t in self.titles], np.int64)
-        self.blocks: dict[int, Block] = {}
+        self.masks_of = lru_cache(1024)(_masks)
         coded = [codes_of(t) for t in self.titles]
         self.letters = np.array([np.bincount(c & np.uint32(63), minlength=64) for c in coded], np.int16).reshape(-1, 64)
         self.pairs = np.array([_pairs_of(c) for c in coded], np.int16).reshape(-1, 1024)
@@ -157,7 +192,10 @@ class Alike:
     def candidates(self, text: str) -> np.ndarray:
         """Places in ``titles`` that the bounds leave."""
         n, least = len(text), self.least
-        lo, hi = np.searchsorted(self.lengths, [n * least / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6])
+        shortest, longest = n * least / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6
+        if not self.titles or longest < len(self.titles[0]) or shortest > len(self.titles[-1]):
+            return np.arange(0)
+        lo, hi = np.searchsorted(self.lengths, [shortest, longest])
         at = np.arange(lo, hi)
         if not n or not len(at):
             return at[:0]
@@ -182,11 +220,10 @@ class Alike:
     def found(self, text: str) -> list[tuple[int, float]]:
         """(number of the title, ratio)."""
         out, matcher = [], None
-        at = self.candidates(text)
-        for b in np.unique(at // TOGETHER).tolist():
-            block = self.blocks.get(b) or self.blocks.setdefault(b, Block(self.titles[b * TOGETHER : (b + 1) * TOGETHER]))
-            some = at[at // TOGETHER == b].tolist()
-            for k, common in zip(some, block.in_common(text, [k % TOGETHER for k in some]), strict=True):
+        at = self.candidates(text).tolist()
+        for some in (at[k : k + TOGETHER] for k in range(0, len(at), TOGETHER)):
+            block = Block([self.titles[k] for k in some], self.masks_of)
+            for k, common in zip(some, block.in_common(text, range(len(some))), strict=True):
                 if 2 * common < self.least * (len(self.titles[k]) + len(text)) - 1e-6:
                     continue
                 matcher = matcher or SequenceMatcher(None, "", text)
@@ -196,11 +233,13 @@ class Alike:
         return out
 
 
-def rungs(agenda: list[tuple], least: float | None, normalise: Callable[[str | None], str] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def rungs(
+    agenda: list[tuple], least: float | None, normalise: Callable[[str | None], str] | None = None, written: Iterable[tuple] = ()
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Maps documents (file_id, dt) to (item_id, file_id, score, method) of every rung that holds.
 
     ``agenda``: (item_id, title, tokens), no title empty. Without ``least`` only containment is looked at; with it also similarity from there on,
-    and tokens. With ``normalise`` the documents' titles come raw.
+    and tokens. With ``normalise`` the documents' titles come raw, and are also compared with ``written``: (title as it is, item_id).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,6 +251,9 @@ def rungs(agenda: list[tuple], least: float | None, normalise: Callable[[str | N
             strings.setdefault(title, len(strings))
             for token in tokens if least is not None else ():
                 users[strings.setdefault(token, len(strings))].append((item, len(tokens)))
+        same: dict[str | None, list] = defaultdict(list)
+        for title, item in written:
+            same[title].append(item)
         known = list(titles)
         whole = {strings[t]: titles[t] for t in known}
         search, inside = Strings(list(strings)), Inside(known)
@@ -238,6 +280,7 @@ def rungs(agenda: list[tuple], least: float | None, normalise: Callable[[str | N
                 out = []
                 some = [normalise(texts[k]) if normalise else texts[k] for k in cut]
                 for k, text, found in zip(cut, some, search.found(some), strict=True):
+                    out += ((item, keys[k], 0.95, "title_exact") for item in same.get(texts[k], ()))
                     out += ((item, keys[k], score, method) for item, score, method in of(text, found))
                 if out:
                     yield pd.DataFrame(out, columns=["item_id", "file_id", "score", "method"])

@@ -61,14 +61,17 @@ def _fits(items: DataFrame) -> bool:
 def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key: str = "item_id", doc_key: str = "file_id", fold: bool = True) -> DataFrame:
     """(item_id, file_id, score, method) of the rungs of ``ladder.rungs``; the documents stream past the items.
 
-    Documents without ``nt`` have their ``doc_title`` normalised on the way, as ``fold`` of ``plain_title`` says.
+    Documents without ``nt`` have their ``doc_title`` compared with the items' ``title`` as it is, and then normalised on the way, as
+    ``fold`` of ``plain_title`` says.
     """
-    tokens = T.keyword_tokens(F.col("nt"))
-    agenda = [tuple(r) for r in items.where("nt <> ''").select(item_key, "nt", tokens).collect()]  # BROADCAST_CHARS at most
+    as_written = F.lit(None).cast("string") if "nt" in docs.columns else F.col("title")
+    rows = items.select(item_key, "nt", T.keyword_tokens(F.col("nt")), as_written).collect()  # BROADCAST_CHARS at most
+    agenda = [tuple(r)[:3] for r in rows if r["nt"]]
+    written = [(r[3], r[0]) for r in rows if r[3]]
     kinds = {"item_id": items.schema[item_key].dataType, "file_id": docs.schema[doc_key].dataType}
     schema = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items()) + ", score double, method string"
     title, normalise = ("nt", None) if "nt" in docs.columns else ("doc_title", partial(T.plain_title, fold=fold))
-    return docs.select(F.col(doc_key).alias("file_id"), F.col(title).alias("dt")).mapInPandas(rungs(agenda, least, normalise), schema)
+    return docs.select(F.col(doc_key).alias("file_id"), F.col(title).alias("dt")).mapInPandas(rungs(agenda, least, normalise, written), schema)
 
 
 def containment_pairs(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
@@ -94,11 +97,13 @@ def code_pairs(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def title_pairs(items: DataFrame, docs: DataFrame, similarity: bool = False, native: bool = False) -> DataFrame:
-    """Equal titles by a hash join, containment by ``containment_pairs``; with ``similarity`` also the two rungs below.
+    """Equal titles, containment by ``containment_pairs``; with ``similarity`` also the two rungs below.
 
-    A pair may be there by several rungs. Each document is read once for all of them, unless the items are many. Documents may come
-    without ``nt``, as ``prepared`` makes it with or without ``native``.
+    A pair may be there by several rungs. Documents may come without ``nt``, as ``prepared`` makes it with or without ``native``: then each is
+    read once for all rungs, unless the items are many. Otherwise equal titles are found by a hash join.
     """
+    if _fits(items) and "nt" not in docs.columns:
+        return _streamed(items, docs, SIMILAR_FROM if similarity else None, fold=not native)
     i, d = items.where("title <> ''").select("item_id", "title"), docs.where("doc_title <> ''").select("file_id", F.col("doc_title").alias("dtitle"))
     exact = i.join(d, F.col("title") == F.col("dtitle")).select("item_id", "file_id", F.lit(0.95).alias("score"), F.lit("title_exact").alias("method"))
     if _fits(items):
@@ -138,16 +143,20 @@ def match_scores(items: DataFrame, docs: DataFrame, similarity: bool = True, nat
     return keep(best_rung(code_pairs(i, d).unionByName(title_pairs(i, d, similarity, native))), "match-scores")
 
 
-def ranked(scores: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates by rank, ties in order of the documents' ``pos``; with the score of the next one, 0 if there is none."""
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "pos")
-    placed = scores.join(docs.select("file_id", "pos"), "file_id")
-    return placed.withColumns({"rnk": F.row_number().over(w), "next_score": F.lead("score", 1, 0.0).over(w)})
+def ranked(scores: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best candidates by rank, ties in order of the documents' ``pos``; with the score of the next one, 0 if there is none.
+
+    All others but one an item go before the shuffle: a limit on the rank alone is one that Spark applies to each partition first.
+    """
+    w = Window.partitionBy("item_id")
+    placed = scores.join(docs.select("file_id", "pos"), "file_id").withColumn("rnk", F.row_number().over(w.orderBy(F.desc("score"), "pos")))
+    best = placed.where(F.col("rnk") <= most + 1)
+    return best.withColumn("next_score", F.lead("score", 1, 0.0).over(w.orderBy("rnk"))).where(F.col("rnk") <= most)
 
 
 def top_candidates(scores: DataFrame, docs: DataFrame, most: int = 5) -> DataFrame:
     """(item_id, candidate_file_ids): up to ``most`` in order of rank."""
-    best = ranked(scores, docs).where(F.col("rnk") <= most)
+    best = ranked(scores, docs, most)
     listed = best.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rnk", "file_id"))).alias("c"))
     return listed.select("item_id", F.col("c.file_id").alias("candidate_file_ids"))
 
@@ -158,7 +167,7 @@ def assign(items: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
     An item only ever tries its best candidate, and only an item whose best has 0.85 and leads by 0.10 can take it. So
     a document goes to the first such item, and is occupied for those behind it.
     """
-    best = ranked(scores, docs).where("rnk = 1")
+    best = ranked(scores, docs, 1)
     ready = (F.col("score") >= F.lit(AUTO_SCORE)) & (F.col("score") - F.col("next_score") >= F.lit(AUTO_MARGIN))
     ahead = Window.partitionBy("file_id").orderBy("order_no", "item_id").rowsBetween(Window.unboundedPreceding, -1)
     tried = best.join(items.select("item_id", "order_no"), "item_id").withColumn("ready", ready)

@@ -80,7 +80,7 @@ def match_assign(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataF
 @query("match_candidates_top5", BASE + "SELECT item_id, rnk, file_id, score, method FROM r WHERE rnk <= 5")
 def match_candidates_top5(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     items, docs = _items(spark, sf_dir), _docs(spark, sf_dir)
-    best = M.ranked(_scores(items, docs, whole), docs).where("rnk <= 5")
+    best = M.ranked(_scores(items, docs, whole), docs, 5)
     return best.select("item_id", "rnk", "file_id", "score", "method")
 
 

@@ -109,3 +109,34 @@ def test_documents_titles_are_normalised_in_the_pass(spark):
     pairs = M.title_pairs(items, docs, similarity=True)
     assert sorted((r["file_id"], r["score"], r["method"]) for r in M.best_rung(pairs).collect()) == [(7, 0.90, "title_contains"), (8, 0.88, "title_similarity")]
     assert "ArrowEvalPython" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strings_are_found_by_their_bytes(monkeypatch):
+    from folioloom.operators.ladder import Strings
+
+    rng = random.Random(12)
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(rng.randint(1, n)))
+    for alphabet in ("ab", "ab\0é中😀\ud800", "abcdefgh"):
+        strings = list(dict.fromkeys(word(alphabet, n) for n in (2, 3, 5, 8, 12, 20) for _ in range(60)))
+        texts = ["", "a", *(word(alphabet, 60) for _ in range(150)), *("x" + s for s in strings[:40])]
+        for some in (texts, texts[:1], ["a" * 5000, "b"]):  # the last has more places than may be looked at one by one
+            found = Strings(strings).found(some)
+            assert [sorted(f) for f in found] == [[k for k, s in enumerate(strings) if s in t] for t in some]
+    many = ["aaaaaaaa" + word("bc", 12) for _ in range(300)]
+    found = Strings(many).found(["a" * 3000 + many[7], "aaaaaaaab"])
+    assert [sorted(f) for f in found] == [[k for k, s in enumerate(many) if s in t] for t in ("a" * 3000 + many[7], "aaaaaaaab")]
+
+
+def test_documents_are_read_once_and_ranks_cut_before_the_shuffle(spark, tmp_path):
+    items = spark.createDataFrame([(k, "", t) for k, t in enumerate(["()", "ab", "cd ef"])], "item_id int, code string, title string")
+    spark.createDataFrame([(k, k, "", t, "") for k, t in enumerate(["()", "ab", "xabx", "cd ef", "cdef", "abx"])], "file_id int, pos int, filename string, extracted_title string, extracted_code string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    i, d = M.prepared(items, "title", "code"), M.prepared(docs.withColumn("doc_title", F.col("extracted_title")), "doc_title", "extracted_code").drop("nt")
+    pairs = M.title_pairs(i, d, similarity=True)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    exact = sorted((r["item_id"], r["file_id"]) for r in pairs.where("method = 'title_exact'").collect())
+    assert exact == [(0, 0), (1, 1), (2, 3)]
+    best = M.ranked(M.match_scores(items, docs), docs, 2)
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+    shown = sorted((r["item_id"], r["rnk"], r["file_id"], r["next_score"]) for r in best.collect())
+    assert shown == [(0, 1, 0, 0.0), (1, 1, 1, 0.90), (1, 2, 2, 0.90), (2, 1, 3, 0.90), (2, 2, 4, 0.0)]
