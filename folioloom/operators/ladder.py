@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -233,10 +234,21 @@ class Alike:
         return out
 
 
+def _highest(met: Iterable[tuple]) -> Iterable[tuple]:
+    """Of (item_id, score, method) the one with the highest score for each item."""
+    best: dict = {}
+    for rung in met:
+        if rung[0] not in best or best[rung[0]][1:] < rung[1:]:
+            best[rung[0]] = rung
+    return best.values()
+
+
 def rungs(
-    agenda: list[tuple], least: float | None, normalise: Callable[[str | None], str] | None = None, written: Iterable[tuple] = ()
+    agenda: list[tuple], least: float | None, normalise: Callable[[str | None], str] | None = None, written: Iterable[tuple] = (), highest: bool = False
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Maps documents (file_id, dt) to (item_id, file_id, score, method) of every rung that holds.
+    """Maps documents (file_id, dt) to (item_id, file_id, score, method) of every rung that holds, or, with ``highest``, of each item's highest.
+
+    Other columns of the documents go along.
 
     ``agenda``: (item_id, title, tokens), no title empty. Without ``least`` only containment is looked at; with it also similarity from there on,
     and tokens. With ``normalise`` the documents' titles come raw, and are also compared with ``written``: (title as it is, item_id).
@@ -274,15 +286,16 @@ def rungs(
             yield from ((item, min(0.60 * n / of_all, 0.6), "keyword") for (item, of_all), n in hits.items())
 
         for batch in batches:
-            keys, texts = batch["file_id"].tolist(), batch["dt"].tolist()
+            texts, out = batch["dt"].tolist(), []
             part = np.cumsum([len(t or "") + 1 for t in texts]) // AT_ONCE
             for cut in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
-                out = []
                 some = [normalise(texts[k]) if normalise else texts[k] for k in cut]
-                for k, text, found in zip(cut, some, search.found(some), strict=True):
-                    out += ((item, keys[k], 0.95, "title_exact") for item in same.get(texts[k], ()))
-                    out += ((item, keys[k], score, method) for item, score, method in of(text, found))
-                if out:
-                    yield pd.DataFrame(out, columns=["item_id", "file_id", "score", "method"])
+                for k, text, found in zip(cut.tolist(), some, search.found(some), strict=True):
+                    met = chain(of(text, found), ((item, 0.95, "title_exact") for item in same.get(texts[k], ())))
+                    out += ((item, k, score, method) for item, score, method in (_highest(met) if highest else met))
+            if out:
+                item, row, score, method = zip(*out, strict=True)
+                other = {name: batch[name].to_numpy()[list(row)] for name in batch.columns if name not in ("dt", "file_id")}
+                yield pd.DataFrame({"item_id": item, "file_id": batch["file_id"].to_numpy()[list(row)], "score": score, "method": method} | other)
 
     return run

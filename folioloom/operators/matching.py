@@ -58,8 +58,8 @@ def _fits(items: DataFrame) -> bool:
     return (items.agg(F.sum(F.length("nt")).alias("n")).first()["n"] or 0) <= BROADCAST_CHARS
 
 
-def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key: str = "item_id", doc_key: str = "file_id", fold: bool = True) -> DataFrame:
-    """(item_id, file_id, score, method) of the rungs of ``ladder.rungs``; the documents stream past the items.
+def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key: str = "item_id", doc_key: str = "file_id", fold: bool = True, highest: bool = False) -> DataFrame:
+    """(item_id, file_id, score, method) of the rungs of ``ladder.rungs``; the documents stream past the items, with ``pos`` if they have one and ``highest`` is set.
 
     Documents without ``nt`` have their ``doc_title`` compared with the items' ``title`` as it is, and then normalised on the way, as
     ``fold`` of ``plain_title`` says.
@@ -71,7 +71,9 @@ def _streamed(items: DataFrame, docs: DataFrame, least: float | None, item_key:
     kinds = {"item_id": items.schema[item_key].dataType, "file_id": docs.schema[doc_key].dataType}
     schema = ", ".join(f"{k} {v.simpleString()}" for k, v in kinds.items()) + ", score double, method string"
     title, normalise = ("nt", None) if "nt" in docs.columns else ("doc_title", partial(T.plain_title, fold=fold))
-    return docs.select(F.col(doc_key).alias("file_id"), F.col(title).alias("dt")).mapInPandas(rungs(agenda, least, normalise, written), schema)
+    along = ["pos"] if highest and "pos" in docs.columns else []
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in along)
+    return docs.select(F.col(doc_key).alias("file_id"), F.col(title).alias("dt"), *along).mapInPandas(rungs(agenda, least, normalise, written, highest), schema)
 
 
 def containment_pairs(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "file_id") -> DataFrame:
@@ -132,24 +134,33 @@ def best_rung(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("item_id", "file_id").agg(F.max(F.struct("score", "method")).alias("s")).select("item_id", "file_id", "s.score", "s.method")
 
 
+def _repeats(docs: DataFrame) -> bool:
+    """Whether two documents have one file_id."""
+    return not docs.groupBy("file_id").count().where("count > 1").isEmpty()
+
+
 def match_scores(items: DataFrame, docs: DataFrame, similarity: bool = True, native: bool = False) -> DataFrame:
-    """(item_id, file_id, score, method) of every pair with a score above 0.
+    """(item_id, file_id, score, method) of every pair with a score above 0, and the documents' ``pos`` where no pair had to be brought together.
 
     ``items``: item_id, title, code. ``docs``: file_id, filename, extracted_title, extracted_code. Rungs are strictly
     ordered, so a pair's highest score is the first rung it reaches. The scores are kept as a table: what follows reads them more than once.
+    Without codes and repeated file_ids all rungs of a pair are seen with the one document, and no pair is shuffled.
     """
     docs = docs.withColumn("doc_title", F.coalesce(F.nullif("extracted_title", F.lit("")), T.strip_extension(F.col("filename"))))
     i, d = prepared(items, "title", "code", native), prepared(docs, "doc_title", "extracted_code", native).drop("nt")
-    return keep(best_rung(code_pairs(i, d).unionByName(title_pairs(i, d, similarity, native))), "match-scores")
+    codes = code_pairs(i, d)
+    if _fits(i) and codes.isEmpty() and not _repeats(docs):
+        return keep(_streamed(i, d, SIMILAR_FROM if similarity else None, fold=not native, highest=True), "match-scores")
+    return keep(best_rung(codes.unionByName(title_pairs(i, d, similarity, native))), "match-scores")
 
 
 def ranked(scores: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best candidates by rank, ties in order of the documents' ``pos``; with the score of the next one, 0 if there is none.
+    """The ``most`` best candidates by rank, ties in order of the documents' ``pos``, which scores may bring along; with the score of the next one, 0 if there is none.
 
     All others but one an item go before the shuffle: a limit on the rank alone is one that Spark applies to each partition first.
     """
     w = Window.partitionBy("item_id")
-    placed = scores.join(docs.select("file_id", "pos"), "file_id").withColumn("rnk", F.row_number().over(w.orderBy(F.desc("score"), "pos")))
+    placed = (scores if "pos" in scores.columns else scores.join(docs.select("file_id", "pos"), "file_id")).withColumn("rnk", F.row_number().over(w.orderBy(F.desc("score"), "pos")))
     best = placed.where(F.col("rnk") <= most + 1)
     return best.withColumn("next_score", F.lead("score", 1, 0.0).over(w.orderBy("rnk"))).where(F.col("rnk") <= most)
 

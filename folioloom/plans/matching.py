@@ -121,7 +121,7 @@ def match_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("match_similarity")
 def match_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, file_id, score, method) by the whole ladder, for every pair of benchmark and documents with a score."""
-    return _scores(_items(spark, sf_dir), _docs(spark, sf_dir), True)
+    return _scores(_items(spark, sf_dir), _docs(spark, sf_dir), True).select("item_id", "file_id", "score", "method")
 
 
 @query("match_unused_docs", BASE + "SELECT file_id FROM d WHERE file_id NOT IN (SELECT selected_file_id FROM a WHERE selected_file_id IS NOT NULL)")
