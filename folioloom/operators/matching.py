@@ -287,6 +287,8 @@ def report(matches: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     """The match list: matches with their item and document, in order of order_no, missing items last."""
     i = items.select("item_id", "title", "code")
     d = docs.select(F.col("file_id").alias("selected_file_id"), "filename", "extracted_title", "extracted_code")
-    j = matches.join(i, "item_id", "left").join(d, "selected_file_id", "left")
+    matches = keep(matches, "matches")  # read twice; few beside the documents, which are then not shuffled
+    chosen = d.join(matches.select("selected_file_id").distinct(), "selected_file_id")
+    j = matches.join(i, "item_id", "left").join(chosen, "selected_file_id", "left")
     text = [c for c in ("title", "code", "filename", "extracted_title", "extracted_code")]
     return j.withColumns({c: F.coalesce(c, F.lit("")) for c in text}).withColumn("order_key", F.coalesce("order_no", F.lit(999999)))
