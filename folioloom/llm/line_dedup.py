@@ -65,10 +65,10 @@ def _signed(lines: DataFrame) -> DataFrame:
     wide = lines.where(F.length("line") >= SHINGLE).select("h", _wide(F.col("line")).alias("w"))
     placed = wide.select("h", "w", (F.length("w") - (4 * SHINGLE - 1)).alias("last"), F.explode(_starts(F.col("w"), STRIDE)).alias("at"))
     at = [F.least(F.col("at") + 4 * k, F.col("last")) for k in range(STRIDE)]
-    hashed = placed.select("h", *(F.shiftrightunsigned(_shingle_at(F.col("w"), x), 32).alias(f"x{k}") for k, x in enumerate(at)))
-    nearest = [F.min(F.least(*(F.col(f"x{k}").bitwiseXOR(F.lit(j << 28).cast("long")) for k in range(STRIDE)))).alias(f"m{j}") for j in range(HASHES)]
-    signed = hashed.groupBy("h").agg(*nearest)
-    return signed.select("h", *((F.col(f"m{j}") - (1 << 31)).cast("int").alias(f"m{j}") for j in range(HASHES)))
+    hashed = placed.select("h", *(F.shiftright(_shingle_at(F.col("w"), x), 32).cast("int").alias(f"x{k}") for k, x in enumerate(at)))
+    # the sign is turned round, so that signed numbers are in the order of unsigned ones
+    turned = [F.lit(((j ^ 8) << 28) - ((j ^ 8) >> 3 << 32)).cast("int") for j in range(HASHES)]
+    return hashed.groupBy("h").agg(*(F.min(F.least(*(F.col(f"x{k}").bitwiseXOR(turned[j]) for k in range(STRIDE)))).alias(f"m{j}") for j in range(HASHES)))
 
 
 def _hashed(line: Column) -> Column:
@@ -177,7 +177,8 @@ def line_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = settle(_signed(_lines(rows)), "line-signatures")
     bands = [F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)) for k, band in enumerate(BANDS)]
     keys = signed.select("h", F.explode(F.array(*bands)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.bit_xor("h").alias("x")).where("n > 1")
+    # nearly all keys are there once, so grouping before the shuffle would find little and cost more
+    shared = keys.repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.bit_xor("h").alias("x")).where("n > 1")
     # bands with the same members are one; two members are known from the least and the exclusive or of both
     shared = settle(shared.groupBy("n", "lo", "x").agg(F.min("key").alias("key")), "line-shared")
     few = shared.where("n = 2").select("lo", F.expr("lo ^ x"))
